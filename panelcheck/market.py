@@ -47,7 +47,7 @@ def clean_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("step").alias("worst"),
         F.sum("quantity").alias("volume"),
     )
-    level = F.lit(START_CENTS) + F.sum("move").over(so_far("sk", ts="date"))
+    level = F.lit(START_CENTS) + F.sum("move").over(so_far("sk", "date"))
     walk = days.withColumn("close_c", level).withColumn("open_c", F.col("close_c") - F.col("move"))
     return walk.select(
         "sk",
@@ -57,7 +57,7 @@ def clean_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.least("open_c", "close_c") + F.least("worst", F.lit(0))).alias("low_c"),
         "close_c",
         "volume",
-        F.row_number().over(in_order("sk", ts="date")).alias("seq"),
+        F.row_number().over(in_order("sk", "date")).alias("seq"),
     )
 
 
@@ -80,7 +80,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = (F.col("v") == 0) & (hole | lead)
 
     def price(c: str):
-        return F.when(~missing, (F.col(c).cast("double") / 100.0) + F.col("v"))
+        return F.when(~missing, (F.col(c) + F.col("v") * 100).cast("double") / 100.0)
 
     volume = F.when(~(missing | ((F.col("v") == 0) & quiet)), F.col("volume") + F.col("v"))
     return bars.select(
@@ -111,3 +111,20 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_regionkey") == 3, "EUR").otherwise("USD").alias("currency"),
         F.when(F.col("n_nationkey") % 2 == 0, "LSE").otherwise("NYSE").alias("exchange"),
     )
+
+
+def tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as bars of a few very long series: one per event type, one bar per instant."""
+    i = F.col("event_id")
+    versions = F.when(i % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    bars = table(spark, sf_dir, "events").withColumn("v", F.explode(versions))
+    cents = F.round(F.col("value") * 100).cast("long") + 10_000 + F.col("v") * 100
+    price = F.when((i % 23 != 0) | (F.col("v") == 1), cents.cast("double") / 100.0)
+    return bars.select(
+        F.col("event_type").alias("ticker"),
+        F.concat(F.lit("Stream of "), "event_type").alias("etf_name"),
+        F.col("ts").alias("date"),
+        *[price.alias(c) for c in ("open", "high", "low", "close")],
+        F.when(i % 29 != 0, F.col("user_id")).alias("volume"),
+        F.when(F.col("v") == 0, FIRST_RUN).otherwise(SECOND_RUN).alias("ingestion_date"),
+    )

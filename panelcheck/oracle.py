@@ -53,10 +53,10 @@ _step(
     """
     select 'SUP' || lpad(cast(sk as varchar), 9, '0') ticker,
            'Supplier#' || lpad(cast(sk as varchar), 9, '0') etf_name, date,
-           case when not missing then cast(open_c as double) / 100 + v end "open",
-           case when not missing then cast(high_c as double) / 100 + v end high,
-           case when not missing then cast(low_c as double) / 100 + v end low,
-           case when not missing then cast(close_c as double) / 100 + v end "close",
+           case when not missing then cast(open_c + v * 100 as double) / 100 end "open",
+           case when not missing then cast(high_c + v * 100 as double) / 100 end high,
+           case when not missing then cast(low_c + v * 100 as double) / 100 end low,
+           case when not missing then cast(close_c + v * 100 as double) / 100 end "close",
            case when not (missing or (v = 0 and (sk * 5 + dayofyear(date)) % 29 = 0)) then volume + v end volume,
            case when v = 0 then '2002-01-01' else '2002-01-02' end ingestion_date
     from (select *, v = 0 and ((sk * 7 + dayofyear(date)) % 23 = 0 or (seq = 1 and sk % 4 = 0)) missing
@@ -65,39 +65,100 @@ _step(
                 union all select *, 1 v from walk where dayofyear(date) % 11 = 0))
     """,
 )
+
+
+def _panel_steps(p: str) -> None:
+    """Raw bars to facts; ``p`` prefixes the step names, so that two panels can be described."""
+    fill = (
+        "last_value({c} ignore nulls) over (partition by ticker order by date "
+        "rows between unbounded preceding and current row) {c}"
+    )
+    _step(
+        f"{p}dedup",
+        (f"{p}raw",),
+        f"""
+        select * exclude (rn) from (
+          select *, row_number() over (partition by ticker, date order by ingestion_date desc) rn
+          from {p}raw)
+        where rn = 1
+        """,
+    )
+    _step(
+        f"{p}filled",
+        (f"{p}dedup",),
+        "select ticker, etf_name, date, ingestion_date, "
+        + ", ".join(fill.format(c=c) for c in ('"open"', "high", "low", '"close"', "volume"))
+        + f" from {p}dedup",
+    )
+    _step(f"{p}clean", (f"{p}filled",), f'select * from {p}filled where "close" is not null')
+    _step(
+        f"{p}staging",
+        (f"{p}clean",),
+        f"""
+        select *, abs(volume_zscore) > 3 is_volume_outlier from (
+          select *,
+            (volume - avg(volume) over k) / nullif(stddev_samp(volume) over k, 0) volume_zscore,
+            (daily_return - avg(daily_return) over k) / nullif(stddev_samp(daily_return) over k, 0) return_zscore
+          from (
+            select *, ("close" - lag("close") over w) / nullif(lag("close") over w, 0) daily_return,
+                   "close" / nullif(first_value("close") over w, 0) * 100 close_norm
+            from {p}clean window w as (partition by ticker order by date))
+          window k as (partition by ticker))
+        """,
+    )
+    _step(
+        f"{p}prices",
+        (f"{p}staging",),
+        f"""
+        select date, ticker, "open", high, low, "close", volume, close_norm, daily_return,
+               return_zscore, volume_zscore, is_volume_outlier, ingestion_date,
+               (close_norm - 100) / 100 cumulative_return,
+               case when daily_return > 0 then 'positive' when daily_return < 0 then 'negative'
+                    else 'flat' end day_direction
+        from {p}staging
+        """,
+    )
+    _step(
+        f"{p}rolling",
+        (f"{p}staging",),
+        f"""
+        select date, ticker, daily_return, close_norm, sma_20, sma_252, volatility_30_annualized,
+               ("close" - peak) / nullif(peak, 0) drawdown
+        from (select *,
+                avg("close") over (w rows between 19 preceding and current row) sma_20,
+                avg("close") over (w rows between 251 preceding and current row) sma_252,
+                stddev_samp(daily_return) over (w rows between 29 preceding and current row)
+                  * sqrt(252) volatility_30_annualized,
+                max("close") over (w rows between unbounded preceding and current row) peak
+              from {p}staging window w as (partition by ticker order by date))
+        """,
+    )
+    _step(
+        f"{p}anomalies",
+        (f"{p}staging",),
+        f"""
+        select date, ticker, "close", daily_return, return_zscore, volume, volume_zscore,
+               case when daily_return > 0 then 'spike_up' else 'spike_down' end anomaly_type,
+               case when abs(return_zscore) > 4 then 'extreme' when abs(return_zscore) > 3 then 'high'
+                    else 'moderate' end anomaly_severity
+        from {p}staging where abs(return_zscore) > 2.5
+        """,
+    )
+
+
+_panel_steps("")
 _step(
-    "dedup",
-    ("raw",),
-    """
-    select * exclude (rn) from (
-      select *, row_number() over (partition by ticker, date order by ingestion_date desc) rn from raw)
-    where rn = 1
-    """,
-)
-_FILL = "last_value({c} ignore nulls) over (partition by ticker order by date rows between unbounded preceding and current row) {c}"
-_step(
-    "filled",
-    ("dedup",),
-    "select ticker, etf_name, date, ingestion_date, "
-    + ", ".join(_FILL.format(c=c) for c in ('"open"', "high", "low", '"close"', "volume"))
-    + " from dedup",
-)
-_step("clean", ("filled",), 'select * from filled where "close" is not null')
-_step(
-    "staging",
-    ("clean",),
+    "tick_raw",
+    (),
     """
-    select *, abs(volume_zscore) > 3 is_volume_outlier from (
-      select *,
-        (volume - avg(volume) over k) / nullif(stddev_samp(volume) over k, 0) volume_zscore,
-        (daily_return - avg(daily_return) over k) / nullif(stddev_samp(daily_return) over k, 0) return_zscore
-      from (
-        select *, ("close" - lag("close") over w) / nullif(lag("close") over w, 0) daily_return,
-               "close" / nullif(first_value("close") over w, 0) * 100 close_norm
-        from clean window w as (partition by ticker order by date))
-      window k as (partition by ticker))
+    select event_type ticker, 'Stream of ' || event_type etf_name, ts date,
+           p "open", p high, p low, p "close", case when event_id % 29 <> 0 then user_id end volume,
+           case when v = 0 then '2002-01-01' else '2002-01-02' end ingestion_date
+    from (select *, case when event_id % 23 <> 0 or v = 1 then cast(cast(round(value * 100) as bigint) + 10000 + v * 100 as double) / 100 end p
+          from (select *, 0 v from events union all select *, 1 v from events where event_id % 11 = 0))
     """,
 )
+_panel_steps("tick_")
 _step(
     "attrs",
     (),
@@ -120,40 +181,6 @@ _step(
       from staging group by ticker) s on a.ticker = s.ticker
     """,
 )
-_step(
-    "prices",
-    ("staging",),
-    """
-    select date, ticker, "open", high, low, "close", volume, close_norm, daily_return, return_zscore,
-           volume_zscore, is_volume_outlier, ingestion_date, (close_norm - 100) / 100 cumulative_return,
-           case when daily_return > 0 then 'positive' when daily_return < 0 then 'negative' else 'flat' end day_direction
-    from staging
-    """,
-)
-_step(
-    "rolling",
-    ("staging",),
-    """
-    select date, ticker, daily_return, close_norm, sma_20, sma_252, volatility_30_annualized,
-           ("close" - peak) / nullif(peak, 0) drawdown
-    from (select *,
-            avg("close") over (w rows between 19 preceding and current row) sma_20,
-            avg("close") over (w rows between 251 preceding and current row) sma_252,
-            stddev_samp(daily_return) over (w rows between 29 preceding and current row) * sqrt(252) volatility_30_annualized,
-            max("close") over (w rows between unbounded preceding and current row) peak
-          from staging window w as (partition by ticker order by date))
-    """,
-)
-_step(
-    "anomalies",
-    ("staging",),
-    """
-    select date, ticker, "close", daily_return, return_zscore, volume, volume_zscore,
-           case when daily_return > 0 then 'spike_up' else 'spike_down' end anomaly_type,
-           case when abs(return_zscore) > 4 then 'extreme' when abs(return_zscore) > 3 then 'high' else 'moderate' end anomaly_severity
-    from staging where abs(return_zscore) > 2.5
-    """,
-)
 
 
 def r(expr: str, digits: int, name: str | None = None) -> str:

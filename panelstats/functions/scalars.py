@@ -10,6 +10,9 @@ POSITIVE, NEGATIVE, FLAT = "positive", "negative", "flat"
 SPIKE_UP, SPIKE_DOWN = "spike_up", "spike_down"
 EXTREME, HIGH, MODERATE = "extreme", "high", "moderate"
 
+# Relative error of a sum of a few hundred doubles, with a wide margin.
+ROUNDING_ERROR = 1e-12
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -49,9 +52,17 @@ def anomaly_severity(z: Column | str, high: float = 3.0, extreme: float = 4.0) -
 
 
 def trend_signal(close: Column | str, sma: Column | str, label: str = "sma252") -> Column:
+    """Close above, below or at its average; a NULL on either side counts as at.
+
+    The average carries the rounding error of its sum.  Differences no larger than that are none, so
+    the signal does not depend on the order in which the prices were added up.
+    """
     close, sma = col(close), col(sma)
+    apart = F.abs(close - sma) > F.abs(sma) * ROUNDING_ERROR
     return (
-        F.when(close > sma, f"above_{label}").when(close < sma, f"below_{label}").otherwise(f"at_{label}")
+        F.when(apart & (close > sma), f"above_{label}")
+        .when(apart & (close < sma), f"below_{label}")
+        .otherwise(f"at_{label}")
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,31 +23,29 @@ def cast_bars(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     )
 
 
-def dedup(
-    df: DataFrame, keys: Sequence[str], latest: str | None = None, order: Iterable[Column] = ()
-) -> DataFrame:
-    """Keep one row per ``keys``: the one with the greatest ``latest``, whole.
+def dedup(df: DataFrame, keys: Sequence[str], latest: str | None = None) -> DataFrame:
+    """Keep one whole row per ``keys``: the one with the greatest ``latest``, NULL counting least.
 
-    Remaining ties are broken by ``order`` and then by every other orderable column, so the survivor
-    never depends on the physical layout.  ``row_number() = 1`` plans as a group limit on both sides
-    of the exchange: a map task forwards at most one row per key, so a heavily copied key does not
-    gather in one task.
+    Ties are broken by the other columns in their order, so the survivor never depends on the
+    physical layout.  Being a plain maximum it is combined before the exchange: a map task forwards
+    one row per key, and a heavily copied key does not gather in one task.
     """
-    rank = [F.col(latest).desc_nulls_last()] if latest else []
-    rest = [
-        F.col(f.name).desc_nulls_last()
-        for f in df.schema.fields
-        if f.name not in keys and f.name != latest and not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
-    newest_first = Window.partitionBy(*keys).orderBy(*rank, *order, *rest)
-    if not (rank or rest or list(order)):
+    rest = [c for c in ([latest] if latest else []) + df.columns if c not in keys]
+    rest = list(dict.fromkeys(rest))
+    if not rest:
         return df.dropDuplicates(list(keys))
-    return df.withColumn("_rank", F.row_number().over(newest_first)).filter("_rank = 1").drop("_rank")
+    unordered = (T.MapType, T.VariantType)
+    ranked = [c for c in rest if not isinstance(df.schema[c].dataType, unordered)]
+    newest = (
+        F.max(F.struct(*rest)) if ranked == rest else F.max_by(F.struct(*rest), F.struct(*ranked))
+    )
+    survivors = df.groupBy(*keys).agg(newest.alias("_row"))
+    return survivors.select(*[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
-def forward_fill(df: DataFrame, key: str, ts: str, cols: Sequence[str]) -> DataFrame:
+def forward_fill(df: DataFrame, key: str | list[str], ts: str, cols: Sequence[str]) -> DataFrame:
     """Fill NULL cells of existing rows with the last value before them; no row is created."""
-    w = so_far(key, ts=ts)
+    w = so_far(key, ts)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
 
@@ -56,7 +54,7 @@ def drop_unfilled(df: DataFrame, price: str) -> DataFrame:
     return df.dropna(subset=[price])
 
 
-def zscore(df: DataFrame, key: str, col: str, out: str | None = None) -> DataFrame:
+def zscore(df: DataFrame, key: str | list[str], col: str, out: str | None = None) -> DataFrame:
     """Distance from the series mean in sample standard deviations.
 
     NULL where the deviation is NULL (fewer than two values) or zero (constant series).
@@ -64,7 +62,7 @@ def zscore(df: DataFrame, key: str, col: str, out: str | None = None) -> DataFra
     return zscores(df, key, {out or f"{col}_zscore": col})
 
 
-def zscores(df: DataFrame, key: str, wanted: dict[str, str]) -> DataFrame:
+def zscores(df: DataFrame, key: str | list[str], wanted: dict[str, str]) -> DataFrame:
     """Several z-scores (``output name -> column``) in a single window pass."""
     w = whole_series(key)
     return df.withColumns(

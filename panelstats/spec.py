@@ -93,21 +93,24 @@ def sma_name(n: int) -> str:
     return f"sma_{n}"
 
 
-def whole_series(*key: str) -> WindowSpec:
-    return Window.partitionBy(*key)
+# Windows.  ``key`` is one column name or a list of them.
 
 
-def in_order(*key: str, ts: str) -> WindowSpec:
-    return Window.partitionBy(*key).orderBy(ts)
+def whole_series(key: str | list[str]) -> WindowSpec:
+    return Window.partitionBy(key)
 
 
-def trailing(*key: str, ts: str, rows: int) -> WindowSpec:
+def in_order(key: str | list[str], ts: str) -> WindowSpec:
+    return Window.partitionBy(key).orderBy(ts)
+
+
+def trailing(key: str | list[str], ts: str, rows: int) -> WindowSpec:
     """The current row and the ``rows - 1`` before it; early rows see a partial frame."""
     if rows < 1:
         raise ValueError("a trailing frame needs at least one row")
-    return in_order(*key, ts=ts).rowsBetween(1 - rows, Window.currentRow)
+    return in_order(key, ts).rowsBetween(1 - rows, Window.currentRow)
 
 
-def so_far(*key: str, ts: str) -> WindowSpec:
+def so_far(key: str | list[str], ts: str) -> WindowSpec:
     """Everything from the start of the series to the current row."""
-    return in_order(*key, ts=ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return in_order(key, ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
