@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from panelstats.plans.warehouse import Warehouse
+from panelstats.session import colocate_joins
 from panelstats.spec import PanelSpec
 
 from . import market
@@ -27,7 +28,7 @@ class Zones:
     """Raw bars, staging and star schema of one data folder; each is written on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir, self.spec = spark, sf_dir, PanelSpec()
+        self.spark, self.sf_dir, self.spec = colocate_joins(spark), sf_dir, PanelSpec()
         tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:10]
         app = spark.sparkContext.applicationId
         self.root = f"{shared_folder(spark)}/panelstats/{app}/{tag}"
