@@ -139,17 +139,18 @@ def segmented_rolling(panel: SegmentedPanel) -> DataFrame:
     peaks = _carry(panel, {"peak": (F.max(price), F.max)})
     reach = max(*spec.sma_frames, spec.vol_frame) - 1
     df = with_halo(panel, reach, [price, "daily_return", "close_norm"])
+    df = df.join(F.broadcast(peaks), part, "left")
+    peak = F.greatest(F.max(price).over(so_far(part, ts)), F.col("_carried_peak"))
+    df = df.withColumn("_peak", peak)
     for rows in spec.sma_frames:
         df = moving_avg(df, part, ts, price, rows)
     df = rolling_vol(
         df, part, ts, "daily_return", spec.vol_frame, spec.periods_per_year, out=spec.volatility
     )
-    df = df.join(F.broadcast(peaks), part, "left")
-    peak = F.greatest(F.max(price).over(so_far(part, ts)), F.col("_carried_peak"))
     return (
-        df.withColumn("drawdown", change(price, peak))
+        df.withColumn("drawdown", change(price, "_peak"))
         .filter(~F.col(HALO))
-        .drop(price, SEGMENT, HALO, "_carried_peak")
+        .drop(price, SEGMENT, HALO, "_peak", "_carried_peak")
     )
 
 
