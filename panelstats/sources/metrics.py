@@ -11,8 +11,9 @@ from ..spec import PanelSpec
 class StageObserver:
     """Counts rows at marked points while a sink's own job runs.
 
-    Pass one to ``build_staging``; after the write, ``report()`` returns plain numbers.  Counts are
-    taken inside tasks, so a retried task cannot count twice in the final result of its stage.
+    Pass one to ``build_staging``; after the write, ``report()`` returns plain numbers.  They describe
+    the run, not the table: rows of a stage recomputed after losing an executor may be counted again.
+    ``staging_metrics`` counts what is stored.
     """
 
     def __init__(self) -> None:

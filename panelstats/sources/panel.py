@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,11 +62,12 @@ def normalize_bars(
     asof: dt.date | str | None = None,
     names: DataFrame | None = None,
     exchange_tz: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Shape a vendor frame into raw bars.
 
     Column names are lower-cased and their spaces become underscores; columns outside the bar are
-    dropped.  An instant is turned into the wall time of ``exchange_tz`` (of the session without
+    dropped unless in ``keep``.  An instant is turned into the wall time of ``exchange_tz`` (of the session without
     one), then truncated to milliseconds.  ``names`` (key, display name) adds the display name, and
     ``asof`` the ingestion date as ISO text.
     """
@@ -81,6 +82,7 @@ def normalize_bars(
         *[c for c in renamed.columns if c in {*spec.measures, spec.key}],
         *([spec.name] if names is None and spec.name in renamed.columns else []),
         F.lit(None if asof is None else str(asof)).cast("string").alias(spec.version),
+        *keep,
     )
     if names is not None:
         bars = bars.join(names.select(spec.key, spec.name), spec.key, "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.quality import dedup
@@ -12,6 +13,8 @@ from ..sources.panel import normalize_bars
 from ..sources.sinks import replace_keys
 from ..spec import PanelSpec
 
+LANDED = "_landed"
+
 
 def ingest_landed(
     spark: SparkSession,
@@ -27,18 +30,20 @@ def ingest_landed(
 ) -> None:
     """Process every file that landed since the last run, then stop.
 
-    The stream remembers the files it has seen, so a rerun after a failure takes each file once and
-    ``replace_keys`` makes a repeated batch harmless.  A batch carries whole histories: the last one
-    per key wins.
+    The stream remembers the files it has seen, so a rerun after a failure takes each file once, and
+    ``replace_keys`` makes a repeated batch harmless.  Files carry whole histories; where several of
+    a batch hold the same bar, the one that landed last wins.
     """
 
     def take(batch: DataFrame, _: int) -> None:
-        bars = normalize_bars(batch, spec, asof, names, exchange_tz)
-        replace_keys(dedup(bars, spec.grid, latest=spec.version), raw, spec, buckets)
+        bars = normalize_bars(batch, spec, asof, names, exchange_tz, keep=[LANDED])
+        newest = dedup(bars, spec.grid, latest=LANDED).drop(LANDED)
+        replace_keys(newest, raw, spec, buckets)
 
     (
         spark.readStream.schema(schema)
         .parquet(landing)
+        .withColumn(LANDED, F.col("_metadata.file_modification_time"))
         .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

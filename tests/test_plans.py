@@ -99,6 +99,12 @@ def test_anomaly_filter_and_columns_reach_the_scan(zones, plan_of):
     assert "ReadSchema: struct<ticker:string,return_zscore:double>" in plan
 
 
+def test_one_series_reads_one_bucket(zones, plan_of):
+    one = zones.prices.filter("ticker = 'SUP000000003'")
+    assert "EqualTo(ticker,SUP000000003)" in plan_of(one)
+    assert one.rdd.getNumPartitions() == 1 < zones.prices.rdd.getNumPartitions()
+
+
 def test_bars_are_summed_before_they_travel(spark, zones, plan_of):
     plan = plan_of(market.raw_bars(spark, zones.sf_dir))
     assert exchanges(plan) == ["hashpartitioning", "hashpartitioning"]

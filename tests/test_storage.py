@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,16 @@ def test_landed_files_are_taken_once(spark, tmp_path):
     assert take("2024-01-04") == later
 
 
+def test_last_landed_file_of_a_batch_wins(spark, tmp_path):
+    landing, raw, state = (str(tmp_path / d) for d in ("landing", "raw", "state"))
+    frames = bars(spark, ("A", 0, 9.0, 1, "x")), bars(spark, ("A", 0, 1.0, 1, "x"), ("A", 1, 2.0, 1, "x"))
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)
+    ingest_landed(spark, landing, raw, state, frames[0].schema, "2024-01-02", buckets=3)
+    assert content(panel.read_panel(spark, raw), "ticker", "close") == [("A", 1.0), ("A", 2.0)]
+
+
 def test_hot_copies_do_not_change_the_result(spark, zones):
     """A third of all raw rows are copies of one bar."""
     one = zones.raw.filter("close is not null").orderBy("ticker", "date").limit(1)
