@@ -628,7 +628,7 @@ def _tick_staging(z: Zones) -> DataFrame:
 
 @query("tick_rolling", sql(f"select {_ROLLING_COLUMNS} from tick_rolling", "tick_rolling"))
 def _tick_rolling(z: Zones) -> DataFrame:
-    cut = segments.segmented_staging(market.tick_bars(z.spark, z.sf_dir), TICKS, z.scratch("ticks"), parallelism(z, 64))
+    cut = segments.segmented_index(market.tick_bars(z.spark, z.sf_dir), TICKS, z.scratch("ticks"), parallelism(z, 64))
     return rounded(segments.segmented_rolling(cut), **SMAS)
 
 

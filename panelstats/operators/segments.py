@@ -118,19 +118,26 @@ def segmented_zscores(panel: SegmentedPanel, wanted: dict[str, str]) -> Segmente
     return SegmentedPanel(rows.drop(*helpers), panel.spans, spec)
 
 
+def segmented_index(
+    raw: DataFrame, spec: PanelSpec, path: str, partitions: int | None = None
+) -> SegmentedPanel:
+    """Raw bars to clean, cut series with return and rebased price; stored under ``path``."""
+    unique = dedup(cast_bars(raw, spec), spec.grid, latest=spec.version)
+    return fill_and_index(split(unique, spec, f"{path}/unique", partitions), f"{path}/indexed")
+
+
 def segmented_staging(
     raw: DataFrame, spec: PanelSpec, path: str, partitions: int | None = None
 ) -> SegmentedPanel:
     """``build_staging`` for series of any length; it is stored under ``path`` with what led to it."""
-    unique = dedup(cast_bars(raw, spec), spec.grid, latest=spec.version)
-    panel = fill_and_index(split(unique, spec, f"{path}/unique", partitions), f"{path}/indexed")
     scored = segmented_zscores(
-        panel, {"volume_zscore": spec.volume, "return_zscore": "daily_return"}
+        segmented_index(raw, spec, path, partitions),
+        {"volume_zscore": spec.volume, "return_zscore": "daily_return"},
     )
     flag = volume_outlier_flag("volume_zscore", spec.volume_outlier_z)
     staging = f"{path}/staging"
     scored.rows.withColumn("is_volume_outlier", flag).write.mode("overwrite").parquet(staging)
-    return SegmentedPanel(raw.sparkSession.read.parquet(staging), panel.spans, spec)
+    return SegmentedPanel(raw.sparkSession.read.parquet(staging), scored.spans, spec)
 
 
 def segmented_rolling(panel: SegmentedPanel) -> DataFrame:
