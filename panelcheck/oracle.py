@@ -154,7 +154,8 @@ _step(
     select event_type ticker, 'Stream of ' || event_type etf_name, ts date,
            p "open", p high, p low, p "close", case when event_id % 29 <> 0 then user_id end volume,
            case when v = 0 then '2002-01-01' else '2002-01-02' end ingestion_date
-    from (select *, case when event_id % 23 <> 0 or v = 1 then cast(cast(round(value * 100) as bigint) + 10000 + v * 100 as double) / 100 end p
+    from (select *, case when event_id % 23 <> 0 or v = 1 then
+                   cast(cast(round(value * 100) as bigint) + 10000 + v * 100 as double) / 100 end p
           from (select *, 0 v from events union all select *, 1 v from events where event_id % 11 = 0))
     """,
 )

@@ -76,10 +76,6 @@ def high_volume_flag(z: Column | str, threshold: float = 2.0) -> Column:
     return F.coalesce(F.abs(col(z)) > threshold, F.lit(False))
 
 
-def exceeds(c: Column | str, threshold: float) -> Column:
-    return F.abs(col(c)) > threshold
-
-
 def month_key(ts: Column | str) -> Column:
     return F.date_format(col(ts), "yyyy-MM")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import in_order
 
@@ -16,6 +17,8 @@ def densify(df: DataFrame, key: str, ts: str, calendar: DataFrame | None = None)
     against the calendar; keys and days are never multiplied with each other.  The calendar is
     broadcast: it has at most one row per date.
     """
+    if not isinstance(df.schema[ts].dataType, T.DateType):
+        raise ValueError("only a panel of days has a calendar")
     days = (df if calendar is None else calendar).select(ts).distinct()
     successor = F.lead(ts).over(in_order(key, ts))
     gaps = df.select(key, F.col(ts).alias("_from"), successor.alias("_to")).filter(

@@ -12,7 +12,7 @@ A range partition holds parts of at most two cut series, the one it continues an
 open.  Carried rows and statistics are therefore at most twice as many as partitions, whatever the
 size of the data, and that is what makes it safe to broadcast them.
 
-``ts`` must not be NULL here.
+A NULL ``ts`` has no place in a cut series; ``split`` fails on one.
 """
 
 from __future__ import annotations
@@ -59,7 +59,9 @@ def split(
     them.  ``partitions`` defaults to the shuffle partitions of the session.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, spec.key, spec.ts).withColumn(SEGMENT, F.spark_partition_id())
+    missing = F.raise_error(F.lit(f"NULL {spec.ts} in a panel to be cut"))
+    timed = df.withColumn(spec.ts, F.coalesce(spec.ts, missing.cast(df.schema[spec.ts].dataType)))
+    cut = timed.repartitionByRange(n, spec.key, spec.ts).withColumn(SEGMENT, F.spark_partition_id())
     return _store(cut, spec, path)
 
 

@@ -96,8 +96,9 @@ def test_pipeline(spark, seed):
     # Versions of a bar are unique per label, so the survivor is known.
     want = expected(rows)
     staging = build_staging(spark.createDataFrame(rows, BAR), SPEC).cache()
+    indicators = ["daily_return", "close_norm", "return_zscore", "volume_zscore"]
     for table, cols in (
-        (staging, [*PRICES, "volume", "ingestion_date", "daily_return", "close_norm", "return_zscore", "volume_zscore"]),
+        (staging, [*PRICES, "volume", "ingestion_date", *indicators]),
         (rolling_fact(staging, SPEC), ["sma_4", "sma_70", SPEC.volatility, "drawdown"]),
     ):
         got = {(r.ticker, r.date): r for r in table.collect()}

@@ -18,12 +18,11 @@ def test_every_series_starts_at_the_base(zones):
 
 
 def test_zscores_are_standardised(zones):
+    scores = ("return_zscore", "volume_zscore")
     moments = zones.staging.groupBy("ticker").agg(
-        *[f(c).alias(f"{n}_{c}") for c in ("return_zscore", "volume_zscore") for n, f in (("m", F.avg), ("s", F.stddev_samp))]
-    )
-    off = " or ".join(
-        f"abs(m_{c}) > 1e-9 or abs(s_{c} - 1) > 1e-9" for c in ("return_zscore", "volume_zscore")
+        *[F.avg(c).alias(f"m_{c}") for c in scores], *[F.stddev_samp(c).alias(f"s_{c}") for c in scores]
     )
+    off = " or ".join(f"abs(m_{c}) > 1e-9 or abs(s_{c} - 1) > 1e-9" for c in scores)
     assert moments.filter(off).isEmpty()
 
 

@@ -198,6 +198,12 @@ def test_densify_adds_only_calendar_days_inside_gaps(spark):
     assert filled.filter("close is null").count() == 0
 
 
+def test_densify_is_for_days(spark):
+    df = run(spark, [1.0]).withColumn("date", F.col("date").cast("timestamp"))
+    with pytest.raises(ValueError):
+        densify(df, "ticker", "date")
+
+
 def test_member_without_data_stays_in_the_dimension(spark):
     attrs = spark.createDataFrame([("A", "x"), ("Z", "y")], "ticker string, category string")
     dim = {r.ticker: r for r in build_dim(attrs, build_staging(run(spark, [1.0, 2.0]))).collect()}
@@ -206,7 +212,8 @@ def test_member_without_data_stays_in_the_dimension(spark):
 
 
 def test_ratio_is_null_without_risk(spark):
-    attrs = spark.createDataFrame([("A", "n", "c", "p")], "ticker string, etf_name string, category string, provider string")
+    columns = "ticker string, etf_name string, category string, provider string"
+    attrs = spark.createDataFrame([("A", "n", "c", "p")], columns)
     staging = build_staging(run(spark, [5.0] * 4))
     row = views.risk_return(price_fact(staging), rolling_fact(staging), attrs).collect()[0]
     assert (row.total_return_pct, row.avg_volatility_pct, row.return_to_risk_ratio) == (0.0, 0.0, None)

@@ -79,6 +79,12 @@ def test_long_frames_over_many_segments(spark, tmp_path):
     whole.unpersist()
 
 
+def test_missing_time_is_refused(spark, tmp_path):
+    df = panel(spark, {"a": 3}).withColumn("date", F.lit(None).cast("date"))
+    with pytest.raises(Exception, match="NULL date"):
+        segments.split(df, PanelSpec(), str(tmp_path / "cut"))
+
+
 def test_hot_series_is_spread_and_carried_rows_are_few(spark, tmp_path):
     df = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("ticker"),

@@ -74,6 +74,26 @@ def test_both_jobs_and_all_views(spark, zones, tmp_path, layout):
     assert spark.read.parquet(house.path("fact_prices")).count() == zones.prices.count()
 
 
+def test_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    """Half of the rows belong to one key; its directory still is not the work of one task."""
+    hot = spark.range(200_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20)).alias("ticker"),
+        F.date_add(F.lit("1900-01-01"), (F.col("id") % 40_000).cast("int")).alias("date"),
+        F.rand(1).alias("close"),
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "256k")
+    try:
+        back = sinks.write_fact(hot, str(tmp_path / "fact"), layout="key")
+        sinks.replace_keys(hot, str(tmp_path / "raw"), buckets=4)
+    finally:
+        spark.conf.unset(size)
+    assert back.count() == spark.read.parquet(str(tmp_path / "raw")).count() == 200_000
+    files = back.select("ticker", F.input_file_name().alias("file")).distinct().groupBy("ticker").count()
+    parts = {r.ticker: r["count"] for r in files.collect()}
+    assert parts["hot"] > 2 and min(parts.values()) == 1
+
+
 def test_unknown_layout_and_missing_table_name(spark, tmp_path):
     df = run(spark, [1.0])
     with pytest.raises(ValueError):
