@@ -58,10 +58,11 @@ class Warehouse:
         return self._fact(rolling_fact(staging, self.spec), "fact_rolling")
 
     def write_anomalies(self, staging: DataFrame) -> DataFrame:
-        return self._fact(anomaly_fact(staging, self.spec), "fact_anomalies")
+        """The few rows left by the filter are gathered by key, not written as one sliver per task."""
+        return self._fact(anomaly_fact(staging, self.spec), "fact_anomalies", clustered=False)
 
-    def _fact(self, df: DataFrame, zone: str) -> DataFrame:
-        """Every fact comes out of a key window or a bucketed scan, so it is clustered already."""
+    def _fact(self, df: DataFrame, zone: str, clustered: bool = True) -> DataFrame:
+        """The full facts come out of a key window or a bucketed table, so they are clustered already."""
         return write_fact(
             df,
             self.path(zone),
@@ -69,7 +70,7 @@ class Warehouse:
             layout=self.layout,
             table=self.table(zone) if self.layout == "bucket" else None,
             buckets=self.buckets,
-            clustered=self.buckets is None,
+            clustered=clustered and self.buckets is None,
         )
 
 
