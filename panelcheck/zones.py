@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import threading
 from functools import cached_property
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelstats.plans.warehouse import Warehouse
 from panelstats.session import colocate_joins
+from panelstats.shared import shared_folder
 from panelstats.spec import PanelSpec
 
 from . import market
@@ -19,11 +19,6 @@ _lock = threading.RLock()
 _zones: dict[tuple[str, str], Zones] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach: ``spark.checkpoint.dir``, or a new local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelstats-")
-
-
 class Zones:
     """Raw bars, staging and star schema of one data folder; each is written on first use."""
 
