@@ -39,8 +39,8 @@ from .text import batch, raw
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of at most this share of a sequence are small.
-SMALL_SHARE = 8
-GROUPS = 48
+SMALL_SHARE = 4
+GROUPS = 256
 #: Ranks of a length are counted in so many slots; with the capacity this bounds the table of offsets.
 SLOTS = 64
 
