@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, quality, simhash, toxicity, warc
+from . import html, packing, quality, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their long repeats of earlier ones."""
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted rules and the likelihood ratio's verdict on every document."""
     kept = quality.keep_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_toxicity, op3_warc, op6_simhash, op8_best_fit_packing, op10_quality_rules)
+    for f in (op1_html_extraction, op2_toxicity, op3_warc, op6_simhash, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
