@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, quality, simhash, substring, toxicity, warc
+from . import hamming, html, mixing, packing, quality, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +40,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every twentieth vector among all vectors."""
+    return hamming.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed so that no source is repeated more than twice."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -64,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_toxicity, op3_warc, op6_simhash, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)
+    for f in (op1_html_extraction, op2_toxicity, op3_warc, op5_exact_topk, op6_simhash, op7_mixing, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exact_topk": hamming.nearest_sql(), "op7_mixing": mixing.mix_sql()}
