@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, html, mixing, packing, quality, simhash, substring, toxicity, warc
+from . import hamming, html, lm, mixing, packing, quality, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents, learnt from nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    train = lm.training_rows(F.col("doc_id"))
+    scored = lm.score_documents(docs, train=train)
+    first = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored.select("doc_id", (~lm.training_rows(F.col("doc_id"))).alias("held_out"), *first)
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest sign codes of every twentieth vector among all vectors."""
     return hamming.nearest_vectors(table(spark, sf_dir, "embeddings"))
@@ -74,7 +83,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_toxicity, op3_warc, op5_exact_topk, op6_simhash, op7_mixing, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)
+    for f in (op1_html_extraction, op2_toxicity, op3_warc, op4_lm_scoring, op5_exact_topk, op6_simhash, op7_mixing, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {"op5_exact_topk": hamming.nearest_sql(), "op7_mixing": mixing.mix_sql()}
