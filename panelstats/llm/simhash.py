@@ -233,3 +233,19 @@ def near_duplicates(
     named = classes(prints, distance)
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` (a stored table) without all but the first of each class.
+
+    The first has the least id (null ids last); of rows with equal ids, the one that comes first in the table.
+    """
+    row = "_llm_row"
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    rank = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    ranked = placed.select(rank.alias("rank"), F.col(text_col).alias("text"))
+    prints = stored(fingerprints(ranked, "rank", "text", shingle), "simhash-prints")
+    named = classes(prints, distance)
+    later = prints.join(named, "fp").filter(F.col("doc_id.row") != F.col("component_id.row"))
+    gone = stored(later.select(F.col("doc_id.row").alias(row)), "simhash-later")
+    return placed.join(gone, row, "left_anti").select(*docs.columns)

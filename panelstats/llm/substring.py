@@ -178,7 +178,7 @@ def without(text: str, spans: list[dict[str, int]], min_words: int) -> tuple[str
 def deduplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with their text cut; added: _llm_removed (offsets) and _llm_gone (words)."""
     found = repeats(find_units(docs, id_col, text_col))
-    joined = docs.withColumn(ROW, F.monotonically_increasing_id()).join(found.withColumnRenamed("row", ROW), ROW, "left").drop(ROW)
+    joined = docs.withColumn(ROW, F.monotonically_increasing_id()).join(found.select(F.col("row").alias(ROW), F.col("spans").alias("_llm_spans")), ROW, "left").drop(ROW)
     names = docs.columns
     place = names.index(text_col)
     offsets = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
