@@ -77,7 +77,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     best = finished = None
 
     order = Window.partitionBy("query").orderBy("distance", F.col("least").asc_nulls_last(), "code")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
     for radius in range(max(w for _, w in cuts) + 1 if wanted else 0):
         masks = spark.createDataFrame(
             [(i, sum(1 << b for b in some)) for i, (_, w) in enumerate(cuts) for some in combinations(range(w), radius)], "seg int, mask long"
@@ -92,7 +92,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             found.distinct()
             .withColumn("nth", F.row_number().over(order))
             .filter(F.col("nth") <= k)
-            .withColumn("before", F.coalesce(F.sum("copies").over(upto), F.lit(0)))
+            .withColumn("before", F.coalesce(F.sum("copies").over(nearer), F.lit(0)))
             .filter(F.col("before") < wanted)
         )
         best = stored(ranked, "hamming-best")
