@@ -137,12 +137,13 @@ def fit_toxicity(
     def train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
         for given in batches:
-            for place, buckets, toxic in zip(*(c.to_pylist() for c in given.columns), strict=True):
-                examples.append((place, buckets, toxic))
-        examples.sort()
-        kinds = {t for *_, t in examples}
+            places, toxic = given.column(0).to_pylist(), given.column(2).to_pylist()
+            for place, buckets, label in zip(places, given.column(1), toxic, strict=True):
+                examples.append((place, label, np.frombuffer(buckets.as_buffer(), "<i4").copy()))
+        examples.sort(key=lambda e: (e[0], e[1], len(e[2])))
+        kinds = {label for _, label, _ in examples}
         if len(kinds) == 2:
-            w, intercept = learn([(np.frombuffer(b, "<i4"), t) for _, b, t in examples], bits, how)
+            w, intercept = learn([(buckets, label) for _, label, buckets in examples], bits, how)
         else:
             w, intercept = np.zeros(1), 35.0 if kinds == {1} else -35.0
         at = np.flatnonzero(w)
