@@ -1,12 +1,16 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
 Codes of 64 bits are cut into segments, and each segment has an index from its value to the codes that
-have it.  A query probes all segments at radius 0, then 1, and so on; what it finds is verified by the
-full distance.  After radius r every code within ``segments * (r + 1) - 1`` bits has been found, for it
-differs by at most r in some segment; a query ends as soon as its kth distance is covered by that.
+have it.  A query probes the segments at radius 0, then 1, and so on; what it finds is verified by the
+full distance.  Once segments up to number a have been probed at radius r and the others at r - 1, every
+code within ``segments * r + a`` bits has been found, for it differs by no more than that in some segment.
+A query probes at a radius only as many segments as cover the kth distance it has, and ends as soon as
+the kth distance is covered.
 
-Equal codes are one entry of the index with their ``k`` least ids, so a code that a third of all rows
-have costs one comparison.  Queries with equal codes are searched once.
+The codes of a segment's value are kept in lots of some hundred, so a probe that hits is a row, however
+many codes it verifies, and no value's codes have to fit a task.  Equal codes are one entry with their ``k``
+least ids, so a code that a third of all rows have costs one comparison.  Queries with equal codes are
+searched once.
 
 Defined results: ties go to the lesser id; a query is among its own neighbours; fewer than ``k`` rows give
 all of them; a component that is null or missing is a 0 bit, and so is all of a null vector; rows with a
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 from panelstats.shared import stored
 
 BITS = 64
-#: Bits of a segment: the logarithm of the number of codes within these bounds.
-LEAST_WIDTH, MOST_WIDTH = 8, 16
+#: Bits of a segment, within these bounds: the logarithm of the number of codes less this many.
+LEAST_WIDTH, MOST_WIDTH, FEWER = 8, 16, 4
+#: Codes of a lot, about.
+LOT = 256
 K = 10
 
 
@@ -40,8 +46,7 @@ def sign_code(vector: Column) -> Column:
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
     """First bit and width of each segment."""
-    width = min(MOST_WIDTH, max(LEAST_WIDTH, round(math.log2(max(n_codes, 2)))))
-    parts = -(-BITS // width)
+    parts = round(BITS / min(MOST_WIDTH, max(LEAST_WIDTH, math.log2(max(n_codes, 2)) - FEWER)))
     cuts = [BITS * i // parts for i in range(parts + 1)]
     return list(zip(cuts[:-1], (b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
@@ -56,6 +61,26 @@ def _by_segment(df: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     return df.withColumn("s", F.explode(each)).select(*df.columns, "s.seg", "s.key")
 
 
+def build_index(distinct: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """seg, key, codes: lots of the codes (with least and copies) that have the value in the segment."""
+    rows = _by_segment(distinct, cuts)
+    sizes = rows.groupBy("seg", "key").agg(F.ceil(F.count("*") / LOT).alias("lots"))
+    dealt = rows.join(sizes, ["seg", "key"]).withColumn("lot", F.pmod(F.xxhash64("code"), F.col("lots")))
+    return dealt.groupBy("seg", "key", "lot").agg(F.collect_list(F.struct("code", "least", "copies")).alias("codes")).drop("lot")
+
+
+def _verified(hits: DataFrame, k: int) -> DataFrame:
+    """Of each hit the ``k`` best codes that aren't farther than what the query has: query, distance, least, code, copies."""
+
+    def measured(c: Column) -> Column:
+        distance = F.bit_count(c["code"].bitwiseXOR(F.col("query"))).alias("distance")
+        return F.struct(distance, c["least"].isNull().alias("lost"), c["least"].alias("least"), c["code"].alias("code"), c["copies"].alias("copies"))
+
+    near = F.filter(F.transform("codes", measured), lambda c: F.col("far").isNull() | (c["distance"] <= F.col("far")))
+    best = hits.select("query", F.explode(F.slice(F.array_sort(near), 1, k)).alias("c"))
+    return best.select("query", "c.distance", "c.least", "c.code", "c.copies")
+
+
 def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), id, distance: the ``k`` nearest rows of ``codes`` for each of ``queries``.
 
@@ -68,12 +93,11 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     distinct = stored(
         entries.groupBy("code").agg(F.min("id").alias("least"), F.count("*").cast("int").alias("copies")), "hamming-codes"
     )
-    n = distinct.count()
-    cuts = segments(n)
-    index = stored(_by_segment(distinct, cuts), "hamming-index")
+    cuts = segments(distinct.count())
+    index = stored(build_index(distinct, cuts), "hamming-index")
     wanted = min(k, entries.count())
     asked = stored(queries.filter(F.col("id").isNotNull()).select(F.col("id").alias("query_id"), "code"), "hamming-queries")
-    active = asked.select("code").distinct()
+    active = asked.select(F.col("code").alias("query")).distinct().withColumn("far", F.lit(None).cast("int"))
     best = finished = None
 
     order = Window.partitionBy("query").orderBy("distance", F.col("least").asc_nulls_last(), "code")
@@ -82,10 +106,11 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         masks = spark.createDataFrame(
             [(i, sum(1 << b for b in some)) for i, (_, w) in enumerate(cuts) for some in combinations(range(w), radius)], "seg int, mask long"
         )
-        probes = _by_segment(active.withColumnRenamed("code", "query").withColumn("code", F.col("query")), cuts).select("query", "seg", "key")
-        probes = probes.join(F.broadcast(masks), "seg").select("query", "seg", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
-        found = probes.join(index, ["seg", "key"]).select("query", "code", "least", "copies")
-        found = found.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
+        needed = F.least(F.lit(len(cuts)), F.coalesce(F.col("far") - len(cuts) * radius + 1, F.lit(len(cuts))))
+        active = active.withColumn("needed", needed)
+        probes = _by_segment(active.withColumn("code", F.col("query")), cuts).filter(F.col("seg") < F.col("needed"))
+        probes = probes.join(F.broadcast(masks), "seg").select("query", "far", "seg", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
+        found = _verified(probes.join(index, ["seg", "key"]), k)
         if best is not None:
             found = found.unionByName(best.select(*found.columns))
         ranked = (
@@ -96,19 +121,19 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             .filter(F.col("before") < wanted)
         )
         best = stored(ranked, "hamming-best")
-        covered = len(cuts) * (radius + 1) - 1
+        covered = len(cuts) * radius + F.col("needed") - 1
+        reached = best.groupBy("query").agg(F.max("distance").alias("now"), F.sum("copies").alias("rows"))
+        full = F.coalesce(F.col("rows"), F.lit(0)) >= wanted
         state = stored(
-            active.withColumnRenamed("code", "query")
-            .join(best.groupBy("query").agg(F.max("distance").alias("far"), F.sum("copies").alias("rows")), "query", "left")
-            .withColumn("done", (F.coalesce("rows", F.lit(0)) >= wanted) & (F.col("far") <= covered)),
+            active.join(reached, "query", "left").select("query", F.when(full, F.col("now")).alias("far"), (full & (F.col("now") <= covered)).alias("done")),
             "hamming-state",
         )
         over = best.join(state.filter("done").select("query"), "query", "left_semi")
         finished = over if finished is None else finished.unionByName(over)
-        active = state.filter(~F.coalesce("done", F.lit(False))).select(F.col("query").alias("code"))
+        active = state.filter(~F.col("done")).select("query", "far")
         if active.isEmpty():
             break
-        best = best.join(active.select(F.col("code").alias("query")), "query", "left_semi")
+        best = best.join(active.select("query"), "query", "left_semi")
     if finished is None:
         kinds = dict(codes.select("id").dtypes)["id"]
         return spark.createDataFrame([], f"query_id {kinds}, rank int, id {kinds}, distance int")
