@@ -15,6 +15,8 @@ from .zones import zones
 
 
 def local_session(cpus: int = 8, **conf: str) -> SparkSession:
+    """A session on this machine; its zones go below the folder named here, unless one is given."""
+    conf = {"spark.checkpoint.dir": "/tmp/checkpoints"} | conf
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("panelstats")

@@ -22,7 +22,7 @@ def sql(select: str, *needs: str) -> str:
 
     for n in needs:
         add(n)
-    parts = [f"{n} as ({STEPS[n][1].strip()})" for n in wanted]
+    parts = [f"{n} as materialized ({STEPS[n][1].strip()})" for n in wanted]
     return (f"with {', '.join(parts)} " if parts else "") + select.strip()
 
 

@@ -79,8 +79,7 @@ def _read_zone(z: Zones) -> DataFrame:
     "normalize_bars",
     sql(
         """
-        select ticker, s_name etf_name,
-               cast(date as timestamp) + interval 16 hour + interval 123 millisecond date,
+        select ticker, s_name etf_name, cast(date as timestamp) + interval 123 millisecond date,
                "open", high, low, "close", volume, '2002-01-03' ingestion_date
         from raw left join supplier on 'SUP' || lpad(cast(s_suppkey as varchar), 9, '0') = ticker
         """,
@@ -88,11 +87,12 @@ def _read_zone(z: Zones) -> DataFrame:
     ),
 )
 def _normalize(z: Zones) -> DataFrame:
-    close_of_day = F.col("date").cast("timestamp_ntz") + F.expr("interval 16 hours 123456 microseconds")
-    instant = F.convert_timezone(
-        F.lit("America/New_York"), F.current_timezone(), close_of_day
-    ).cast("timestamp")
-    vendor = z.raw.select(
+    """Bars stamped at midnight of their own exchange, as instants; years of summer-time changes."""
+    zone = F.when(F.col("exchange") == "LSE", "Europe/London").otherwise("America/New_York")
+    names = z.attrs.withColumn("zone", zone)
+    midnight = F.col("date").cast("timestamp_ntz") + F.expr("interval 123456 microseconds")
+    instant = F.convert_timezone(F.col("zone"), F.current_timezone(), midnight).cast("timestamp")
+    vendor = z.raw.join(names.select("ticker", "zone"), "ticker").select(
         instant.alias("Date"),
         F.col("open").alias("Open"),
         F.col("high").alias("High"),
@@ -102,7 +102,7 @@ def _normalize(z: Zones) -> DataFrame:
         F.lit(0.0).alias("Stock Splits"),
         F.col("ticker").alias("Ticker"),
     )
-    return panel.normalize_bars(vendor, SPEC, "2002-01-03", z.attrs, "America/New_York")
+    return panel.normalize_bars(vendor, SPEC, "2002-01-03", names, zone="zone")
 
 
 query(
@@ -134,48 +134,50 @@ def _replace_keys(z: Zones) -> DataFrame:
     return panel.read_panel(z.spark, path, SPEC, schema=None).drop(sinks.BUCKET)
 
 
-_ONE_DAY = sql(
-    """
-    , batch as (select * from raw where date >= date '1998-03-02' and date < date '1998-03-03'),
+# The batch is what one exchange delivers; the registry has all instruments.
+_STATUS = """
+    , batch as (select raw.* from raw join attrs using (ticker) where exchange = 'LSE'),
     status as (
       select a.ticker, count(b.date) "rows",
              case when count(b.date) > 0 then 'processed' else 'failed' end status
       from attrs a left join batch b on a.ticker = b.ticker group by a.ticker)
-    """,
-    "raw",
-    "attrs",
-)
+"""
 
 
-def _day_batch(z: Zones) -> DataFrame:
-    return panel.clip_history(z.raw, "1998-03-02", "1998-03-03", SPEC)
+def _batch(z: Zones) -> DataFrame:
+    return z.raw.join(z.attrs.filter(F.col("exchange") == "LSE").select("ticker"), "ticker", "left_semi")
 
 
-query("ingest_status", _ONE_DAY + " select * from status")(
-    lambda z: ingest.ingest_status(_day_batch(z), z.attrs, SPEC)
+query("ingest_status", sql(_STATUS + " select * from status", "raw", "attrs"))(
+    lambda z: ingest.ingest_status(_batch(z), z.attrs, SPEC)
 )
 query(
     "ingest_summary",
-    _ONE_DAY
-    + """
-    select '1998-03-03' run_date, case when p > 0 then 200 else 500 end status_code,
-           p n_processed, f n_failed,
-           '{"run_date":"1998-03-03","n_processed":' || p || ',"n_failed":' || f || '}' body
-    from (select count(*) filter (status = 'processed') p, count(*) filter (status = 'failed') f from status)
-    """,
-)(lambda z: ingest.ingest_summary(_day_batch(z), z.attrs, "1998-03-03", SPEC, lists=False))
+    sql(
+        _STATUS
+        + """
+        select '2002-01-03' run_date, case when p > 0 then 200 else 500 end status_code,
+               p n_processed, f n_failed,
+               '{"run_date":"2002-01-03","n_processed":' || p || ',"n_failed":' || f || '}' body
+        from (select count(*) filter (status = 'processed') p, count(*) filter (status = 'failed') f from status)
+        """,
+        "raw",
+        "attrs",
+    ),
+)(lambda z: ingest.ingest_summary(_batch(z), z.attrs, "2002-01-03", SPEC))
 
 
 _PERFORMANCE = f"""
-    select category, date, strftime(date, '%Y-%m') year_month, {r('avg(close_norm)', 2, 'avg_close_norm')},
-           {r('avg(daily_return) * 100', 4, 'avg_daily_return_pct')},
-           {r('avg(cumulative_return) * 100', 2, 'avg_cumulative_return_pct')},
-           count(distinct p.ticker) etf_count
-    from prices p join dim d on p.ticker = d.ticker group by category, date
+    select a.category, s.date, strftime(s.date, '%Y-%m') year_month,
+           {r('sum(close_norm) / count(close_norm)', 2, 'avg_close_norm')},
+           {r('100 * sum(daily_return) / count(daily_return)', 4, 'avg_daily_return_pct')},
+           {r('sum(close_norm - 100) / count(close_norm)', 2, 'avg_cumulative_return_pct')},
+           count(*) etf_count
+    from staging s, attrs a where a.ticker = s.ticker group by all
 """
 
 
-@query("write_fact_by_key", sql(_PERFORMANCE, "prices", "dim"))
+@query("write_fact_by_key", sql(_PERFORMANCE, "staging", "attrs"))
 def _write_by_key(z: Zones) -> DataFrame:
     by_category = replace(SPEC, key="category")
     view = views.category_performance(z.prices, z.dim, SPEC, ordered=False)
@@ -211,6 +213,7 @@ query(
         union all select 'duplicates_removed', (select count(*) from raw) - (select count(*) from dedup)
         union all select 'rows_after_fill', (select count(*) from clean)
         union all select 'volume_outliers', (select count(*) from staging where is_volume_outlier)
+        union all select 'failed_casts', 0
         """,
         "staging",
     ),
@@ -235,17 +238,30 @@ query(
 # Projections, labels and filters
 
 
-@query("cast_bars", sql("select * from raw", "raw"))
-def _cast(z: Zones) -> DataFrame:
-    as_text = z.raw.select(
-        *[
-            F.coalesce(F.col(c).cast("string"), F.lit("n/a")).alias(c)
-            if c in SPEC.measures
-            else F.col(c).cast("string").alias(c)
-            for c in z.raw.columns
-        ]
+def _as_text(z: Zones) -> DataFrame:
+    """Raw bars as text: gaps as ``n/a``, volumes of odd days with a decimal point."""
+    volume = F.when(F.day("date") % 2 == 1, F.concat(F.col("volume").cast("string"), F.lit(".0"))).otherwise(
+        F.col("volume").cast("string")
+    )
+    text = {c: F.col(c).cast("string") for c in z.raw.columns} | {"volume": volume}
+    return z.raw.select(
+        *[(F.coalesce(t, F.lit("n/a")) if c in SPEC.measures else t).alias(c) for c, t in text.items()]
     )
-    return quality.cast_bars(as_text, SPEC)
+
+
+query("cast_bars", sql("select * from raw", "raw"))(lambda z: quality.cast_bars(_as_text(z), SPEC))
+query(
+    "failed_casts",
+    sql(
+        """
+        select unnest(['open', 'high', 'low', 'close', 'volume', 'date', 'ticker', 'etf_name', 'ingestion_date']) "column",
+               unnest([count(*) - count("open"), count(*) - count(high), count(*) - count(low),
+                       count(*) - count("close"), count(*) - count(volume), 0, 0, 0, 0]) failed
+        from raw
+        """,
+        "raw",
+    ),
+)(lambda z: quality.failed_casts(_as_text(z), SPEC))
 
 
 def labelled(name: str, source: str, expr: str, build: Callable[[Zones], DataFrame], measure=False):
@@ -296,11 +312,11 @@ query(
     "trend_signal",
     sql(
         f"""
-        select p.ticker, p.date, {_TREND}
-        from prices p join rolling r on p.ticker = r.ticker and p.date = r.date
+        select ticker, date, {_TREND} from (
+          select ticker, date, "close", avg("close") over (partition by ticker order by date
+                 rows between 251 preceding and current row) sma_252 from clean)
         """,
-        "prices",
-        "rolling",
+        "clean",
     ),
 )(
     lambda z: joins.align_facts(z.prices, z.rolling, SPEC.grid, ["close"], ["sma_252"]).select(
@@ -391,11 +407,11 @@ query(
     "align_facts",
     sql(
         f"""
-        select p.ticker, p.date, "close", {r('drawdown', 6)}
-        from prices p join rolling r on p.ticker = r.ticker and p.date = r.date
+        select ticker, date, "close", {r('"close" / nullif(peak, 0) - 1', 6, 'drawdown')} from (
+          select ticker, date, "close", max("close") over (partition by ticker order by date
+                 rows between unbounded preceding and current row) peak from clean)
         """,
-        "prices",
-        "rolling",
+        "clean",
     ),
 )(lambda z: rounded(joins.align_facts(z.prices, z.rolling, SPEC.grid, ["close"], ["drawdown"])))
 query(
@@ -646,7 +662,7 @@ query(
         "dim",
     ),
 )(lambda z: rounded(views.normalized_prices(z.prices, z.dim, SPEC)))
-query("v_category_performance", sql(_PERFORMANCE, "prices", "dim"))(
+query("v_category_performance", sql(_PERFORMANCE, "staging", "attrs"))(
     lambda z: views.category_performance(z.prices, z.dim, SPEC)
 )
 _VOLATILITY = f"""
@@ -770,7 +786,7 @@ query(
 query("risk_return_by_category", sql(_RISK, "prices", "rolling", "dim"))(
     lambda z: reports.risk_return_by_category(_risk(z), SPEC)
 )
-query("performance_over_time", sql(_PERFORMANCE, "prices", "dim"))(
+query("performance_over_time", sql(_PERFORMANCE, "staging", "attrs"))(
     lambda z: reports.performance_over_time(
         views.category_performance(z.prices, z.dim, SPEC, ordered=False), SPEC
     )
@@ -814,7 +830,7 @@ query(
     ),
 )(lambda z: reports.anomalies_by_category(z.anomalies, z.dim, SPEC))
 query("return_histogram", sql(_HISTOGRAM, "prices", "dim"))(
-    lambda z: reports.return_histogram(_view(z), spec=SPEC)
+    lambda z: reports.instrument_histogram(z.prices, z.dim, spec=SPEC)
 )
 query(
     "category_histogram",

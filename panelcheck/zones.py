@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import threading
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +15,21 @@ from panelstats.spec import PanelSpec
 from . import market
 
 _lock = threading.RLock()
+
+
+class once:  # noqa: N801
+    """A property computed on first use, by one thread."""
+
+    def __init__(self, make) -> None:
+        self.make, self.name = make, f"_{make.__name__}"
+
+    def __get__(self, zones, _=None):
+        with _lock:
+            if self.name not in zones.__dict__:
+                zones.__dict__[self.name] = self.make(zones)
+            return zones.__dict__[self.name]
+
+
 _zones: dict[tuple[str, str], Zones] = {}
 
 
@@ -36,13 +50,13 @@ class Zones:
             self._scratch += 1
             return f"{self.root}/scratch/{name}-{self._scratch}"
 
-    @cached_property
+    @once
     def raw(self) -> DataFrame:
         path = self.warehouse.path("raw")
         market.raw_bars(self.spark, self.sf_dir).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    @cached_property
+    @once
     def staging(self) -> DataFrame:
         return self.warehouse.write_staging(self.raw)
 
@@ -50,19 +64,19 @@ class Zones:
     def attrs(self) -> DataFrame:
         return market.attributes(self.spark, self.sf_dir)
 
-    @cached_property
+    @once
     def dim(self) -> DataFrame:
         return self.warehouse.write_dim(self.staging, self.attrs)
 
-    @cached_property
+    @once
     def prices(self) -> DataFrame:
         return self.warehouse.write_prices(self.staging)
 
-    @cached_property
+    @once
     def rolling(self) -> DataFrame:
         return self.warehouse.write_rolling(self.staging)
 
-    @cached_property
+    @once
     def anomalies(self) -> DataFrame:
         return self.warehouse.write_anomalies(self.staging)
 

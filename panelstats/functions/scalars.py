@@ -51,14 +51,17 @@ def anomaly_severity(z: Column | str, high: float = 3.0, extreme: float = 4.0) -
     return F.when(size > extreme, EXTREME).when(size > high, HIGH).otherwise(MODERATE)
 
 
-def trend_signal(close: Column | str, sma: Column | str, label: str = "sma252") -> Column:
+def trend_signal(
+    close: Column | str, sma: Column | str, label: str = "sma252", tolerance: float = ROUNDING_ERROR
+) -> Column:
     """Close above, below or at its average; a NULL on either side counts as at.
 
-    The average carries the rounding error of its sum.  Differences no larger than that are none, so
-    the signal does not depend on the order in which the prices were added up.
+    The average carries the rounding error of its sum.  Differences no larger than ``tolerance`` times the
+    average are none, so the signal does not depend on the order in which the prices were added up;
+    0 compares exactly.
     """
     close, sma = col(close), col(sma)
-    apart = F.abs(close - sma) > F.abs(sma) * ROUNDING_ERROR
+    apart = F.abs(close - sma) > F.abs(sma) * tolerance
     return (
         F.when(apart & (close > sma), f"above_{label}")
         .when(apart & (close < sma), f"below_{label}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,30 @@ from ..spec import PanelSpec, so_far, whole_series
 def cast_bars(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """Bring the bar columns to their canonical types; a value that cannot be cast becomes NULL.
 
-    Columns outside the canonical bar pass through; a canonical column the input lacks is not added.
+    Whole numbers may come as decimal text (``1000.0``); what follows the point is cut off.  Columns outside
+    the canonical bar pass through; a canonical column the input lacks is not added.  ``failed_casts``
+    counts what was lost.
     """
     target = {f.name: f.dataType for f in spec.bar_schema().fields}
-    return df.select(
-        *[F.col(c).try_cast(target[c]).alias(c) if c in target else F.col(c) for c in df.columns]
-    )
+    return df.select(*[_cast(df, c, target[c]).alias(c) if c in target else F.col(c) for c in df.columns])
+
+
+def failed_casts(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """``(column, failed)``: how many values of each bar column ``cast_bars`` turns into NULL."""
+    target = {f.name: f.dataType for f in spec.bar_schema().fields if f.name in df.columns}
+    lost = [F.count_if(F.col(c).isNotNull() & _cast(df, c, t).isNull()).alias(c) for c, t in target.items()]
+    return df.agg(*lost).unpivot([], list(target), "column", "failed")
+
+
+def _cast(df: DataFrame, c: str, to: T.DataType) -> Column:
+    if isinstance(to, T.LongType) and isinstance(df.schema[c].dataType, T.StringType):
+        return F.coalesce(F.col(c).try_cast(to), F.col(c).try_cast("decimal(38, 9)").try_cast(to))
+    return F.col(c).try_cast(to)
+
+
+def timed(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """Rows that have a time: a bar without one has no place in a series, whatever its length."""
+    return df.filter(F.col(spec.ts).isNotNull())
 
 
 def dedup(df: DataFrame, keys: Sequence[str], latest: str | None = None) -> DataFrame:
@@ -88,11 +106,3 @@ def filter_abs(df: DataFrame, col: str, threshold: float = 2.5) -> DataFrame:
 
 def count_flag(df: DataFrame, flag: str, out: str = "flagged") -> DataFrame:
     return df.agg(F.count_if(flag).alias(out))
-
-
-def project(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols)
-
-
-def drop_temp(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.drop(*cols)

@@ -12,7 +12,8 @@ A range partition holds parts of at most two cut series, the one it continues an
 open.  Carried rows and statistics are therefore at most twice as many as partitions, whatever the
 size of the data, and that is what makes it safe to broadcast them.
 
-A NULL ``ts`` has no place in a cut series; ``split`` fails on one.
+Bars without a time are dropped where raw bars come in; ``split`` itself fails on one.  ``partitions`` says
+how many segments a panel has in all, so it decides the size of one: state it for large panels.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import change, first_by, last_by, ratio, volume_outlier_flag
 from ..spec import PanelSpec, in_order, so_far, whole_series
-from .quality import cast_bars, dedup, drop_unfilled
+from .quality import cast_bars, dedup, drop_unfilled, timed
 from .series import moving_avg, rolling_vol
 
 SEGMENT = "segment"
@@ -124,7 +125,7 @@ def segmented_index(
     raw: DataFrame, spec: PanelSpec, path: str, partitions: int | None = None
 ) -> SegmentedPanel:
     """Raw bars to clean, cut series with return and rebased price; stored under ``path``."""
-    unique = dedup(cast_bars(raw, spec), spec.grid, latest=spec.version)
+    unique = dedup(timed(cast_bars(raw, spec), spec), spec.grid, latest=spec.version)
     return fill_and_index(split(unique, spec, f"{path}/unique", partitions), f"{path}/indexed")
 
 

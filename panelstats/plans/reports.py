@@ -15,6 +15,9 @@ from ..spec import PanelSpec
 RISK_COLUMNS = ("total_return_pct", "avg_volatility_pct", "return_to_risk_ratio", "max_drawdown_pct")
 
 
+# Column names of the published reports (giorni, prima_data, ultima_data, anomalie_totali).
+
+
 def days_per_key(prices: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     return sorted_view(row_count(prices, [spec.key], "giorni"), spec.key)
 
@@ -66,11 +69,26 @@ def anomalies_by_category(
 def return_histogram(
     view: DataFrame, width: float | None = None, spec: PanelSpec = PanelSpec()
 ) -> DataFrame:
-    """Frequency of daily returns (in percent) per instrument and bucket of ``width`` points."""
-    width = spec.bucket_width if width is None else width
-    buckets = bucket(F.col("daily_return") * 100, width).alias("return_bucket")
-    counted = row_count(returns_only(view), [spec.key, spec.category, buckets], "frequency")
-    return sorted_view(counted, spec.key, "return_bucket")
+    """Frequency of daily returns (in percent) per instrument and bucket of ``width`` points.
+
+    ``view`` has returns and the category.  Over a price fact, ``instrument_histogram`` counts first and
+    looks up the category of the few rows left.
+    """
+    buckets = bucket(F.col("daily_return") * 100, spec.bucket_width if width is None else width)
+    grouping = [spec.key, spec.category, buckets.alias("return_bucket")]
+    return sorted_view(row_count(returns_only(view), grouping, "frequency"), spec.key, "return_bucket")
+
+
+def instrument_histogram(
+    prices: DataFrame, dim: DataFrame, width: float | None = None, spec: PanelSpec = PanelSpec()
+) -> DataFrame:
+    """``return_histogram`` from the fact and the dimension."""
+    buckets = bucket(F.col("daily_return") * 100, spec.bucket_width if width is None else width)
+    counted = row_count(returns_only(prices), [spec.key, buckets.alias("return_bucket")], "frequency")
+    with_category = with_dim(counted, dim, spec.key, [spec.category])
+    return sorted_view(
+        with_category.select(spec.key, spec.category, "return_bucket", "frequency"), spec.key, "return_bucket"
+    )
 
 
 def category_histogram(histogram: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:

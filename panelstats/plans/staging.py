@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import volume_outlier_flag
-from ..operators.quality import cast_bars, dedup, drop_unfilled, forward_fill, zscores
+from ..operators.quality import cast_bars, dedup, drop_unfilled, forward_fill, timed, zscores
 from ..operators.series import rebase, simple_return
 from ..sources.metrics import StageObserver
 from ..spec import DAY, PanelSpec
@@ -14,11 +14,14 @@ from ..spec import DAY, PanelSpec
 def clean_bars(
     raw: DataFrame, spec: PanelSpec = PanelSpec(), observer: StageObserver | None = None
 ) -> DataFrame:
-    """Typed, one row per key and time (the newest ingestion), gaps filled, unfillable rows dropped."""
-    _daily(spec)
+    """Typed, one row per key and time (the newest ingestion), gaps filled, unfillable rows dropped.
+
+    Bars whose time is missing or can't be cast are dropped too; ``failed_casts`` counts the latter.
+    """
+    daily_only(spec)
     mark = observer.mark if observer else lambda df, point: df
     typed = mark(cast_bars(raw, spec), "raw")
-    unique = mark(dedup(typed, spec.grid, latest=spec.version), "deduplicated")
+    unique = mark(dedup(timed(typed, spec), spec.grid, latest=spec.version), "deduplicated")
     filled = forward_fill(unique, spec.key, spec.ts, spec.measures)
     return mark(drop_unfilled(filled, spec.close), "filled")
 
@@ -29,6 +32,7 @@ def add_indicators(clean: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame
     The ordered window functions come first and both z-scores share one pass, so the whole chain
     reuses a single exchange and sort by series.
     """
+    daily_only(spec)
     with_return = simple_return(clean, spec.key, spec.ts, spec.close)
     rebased = rebase(with_return, spec.key, spec.ts, spec.close, spec.base)
     scored = zscores(
@@ -47,7 +51,8 @@ def build_staging(
     return staging
 
 
-def _daily(spec: PanelSpec) -> None:
+def daily_only(spec: PanelSpec) -> None:
+    """Refuse series without a bounded length where a task takes a whole series."""
     if spec.grain != DAY:
         raise ValueError(
             "series of this grain have no bounded length: use panelstats.operators.segments"

@@ -11,6 +11,7 @@ from ..operators.joins import dim_with_stats
 from ..operators.quality import filter_abs
 from ..operators.series import drawdown, moving_avg, rolling_vol
 from ..spec import PanelSpec
+from .staging import daily_only
 
 
 def build_dim(attrs: DataFrame, staging: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -35,6 +36,7 @@ def price_fact(staging: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
 
 def rolling_fact(staging: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """Moving averages, annualised volatility and drawdown; all frames share one sort."""
+    daily_only(spec)
     key, ts, price = spec.key, spec.ts, spec.close
     df = staging.select(*spec.grid, price, "daily_return", "close_norm")
     for rows in spec.sma_frames:

@@ -171,7 +171,7 @@ def drawdown_analysis(
         pct("drawdown", 2).alias("drawdown_pct"),
         F.round(spec.volatility, 4).alias("volatility_ann"),
         *smas,
-        trend_signal(spec.close, spec.trend_sma, label).alias("trend_signal"),
+        trend_signal(spec.close, spec.trend_sma, label, spec.trend_tolerance).alias("trend_signal"),
     )
     return sorted_view(view, *spec.grid) if ordered else view
 

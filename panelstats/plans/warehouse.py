@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -9,18 +10,36 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.metrics import StageObserver
-from ..sources.sinks import register_views, write_dim, write_fact
+from ..sources.panel import read_zone
+from ..sources.sinks import (
+    claim_buckets,
+    exists,
+    register_bucketed,
+    register_views,
+    stored_buckets,
+    write_dim,
+    write_fact,
+)
 from ..spec import PanelSpec
 from . import views
-from .staging import build_staging
+from .staging import build_staging, daily_only
 from .star import anomaly_fact, build_dim, price_fact, rolling_fact
 
 TABLES = ("dim_etf", "fact_prices", "fact_rolling", "fact_anomalies")
 
 
+ZONES = ("staging", *TABLES)
+
+
 @dataclass
 class Warehouse:
-    """Zones under one root.  Each ``write_*`` runs one job and returns the table read back."""
+    """Zones under one root.  Each ``write_*`` runs one job and returns the table read back.
+
+    The number of buckets is a property of the warehouse: that of its first write (``buckets``, or the
+    shuffle partitions of the session) is stored under the root and holds for all its tables and all later
+    sessions.  ``open`` registers stored zones with a new catalog.  Series must have a bounded length;
+    ``operators.segments`` stores others.
+    """
 
     spark: SparkSession
     root: str
@@ -31,9 +50,35 @@ class Warehouse:
     def path(self, zone: str) -> str:
         return f"{self.root}/{zone}"
 
+    def __post_init__(self) -> None:
+        daily_only(self.spec)
+
     def table(self, zone: str) -> str:
-        """Catalog name of a bucketed zone, unique per root."""
-        return re.sub(r"\W+", "_", f"{self.root}/{zone}").strip("_").lower()
+        """Catalog name of a bucketed zone; the digest tells apart roots whose names look alike."""
+        name = re.sub(r"\W+", "_", self.root.rstrip("/").rsplit("/", 1)[-1]).strip("_").lower()
+        return f"{name}_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{zone}"
+
+    def bucket_count(self) -> int:
+        """The stored number of buckets; the first call stores it."""
+        known = stored_buckets(self.spark, self.root)
+        n = self.buckets or known or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        claim_buckets(self.spark, self.root, n)
+        return n
+
+    def open(self) -> dict[str, DataFrame]:
+        """The stored zones by name, their buckets known to this session's catalog."""
+        found = {}
+        for zone in ZONES:
+            if not exists(self.spark, self.path(zone)):
+                continue
+            if self.layout == "bucket":
+                order = [self.spec.key] if zone == "dim_etf" else self.spec.grid
+                found[zone] = register_bucketed(
+                    self.spark, self.path(zone), self.table(zone), self.spec.key, order, self.bucket_count()
+                )
+            else:
+                found[zone] = read_zone(self.spark, self.path(zone))
+        return found
 
     def write_staging(self, raw: DataFrame, observer: StageObserver | None = None) -> DataFrame:
         return self._fact(build_staging(raw, self.spec, observer), "staging")
@@ -49,7 +94,8 @@ class Warehouse:
     def write_dim(self, staging: DataFrame, attrs: DataFrame) -> DataFrame:
         table = self.table("dim_etf") if self.layout == "bucket" else None
         dim = build_dim(attrs, staging, self.spec)
-        return write_dim(dim, self.path("dim_etf"), self.spec.key, table, self.buckets)
+        buckets = self.bucket_count() if table else None
+        return write_dim(dim, self.path("dim_etf"), self.spec.key, table, buckets)
 
     def write_prices(self, staging: DataFrame) -> DataFrame:
         return self._fact(price_fact(staging, self.spec), "fact_prices")
@@ -63,21 +109,26 @@ class Warehouse:
 
     def _fact(self, df: DataFrame, zone: str, clustered: bool = True) -> DataFrame:
         """The full facts come out of a key window or a bucketed table, so they are clustered already."""
+        buckets = self.bucket_count() if self.layout == "bucket" else None
+        ends = int(self.spark.conf.get("spark.sql.shuffle.partitions")) == buckets
         return write_fact(
             df,
             self.path(zone),
             self.spec,
             layout=self.layout,
             table=self.table(zone) if self.layout == "bucket" else None,
-            buckets=self.buckets,
-            clustered=clustered and self.buckets is None,
+            buckets=buckets,
+            clustered=clustered and ends,
         )
 
 
 def star_views(
-    star: dict[str, DataFrame], spec: PanelSpec = PanelSpec(), ordered: bool = True
+    star: dict[str, DataFrame], spec: PanelSpec = PanelSpec(), ordered: bool = False
 ) -> dict[str, DataFrame]:
-    """The eight named views over ``dim_etf``, ``fact_prices``, ``fact_rolling``, ``fact_anomalies``."""
+    """The eight named views over ``dim_etf``, ``fact_prices``, ``fact_rolling``, ``fact_anomalies``.
+
+    A sorted view sorts its whole table whenever it is read, so that is left to exports and reports.
+    """
     dim, prices, rolling, anomalies = (star[t] for t in TABLES)
     build: dict[str, Callable[[], DataFrame]] = {
         "v_prices_normalized": lambda: views.normalized_prices(prices, dim, spec, ordered),
@@ -93,7 +144,7 @@ def star_views(
 
 
 def publish(
-    star: dict[str, DataFrame], spec: PanelSpec = PanelSpec(), ordered: bool = True
+    star: dict[str, DataFrame], spec: PanelSpec = PanelSpec(), ordered: bool = False
 ) -> dict[str, DataFrame]:
     """Register the four tables and the eight views under their names; returns the views."""
     made = star_views(star, spec, ordered)

@@ -30,38 +30,21 @@ def ingest_status(batch: DataFrame, registry: DataFrame, spec: PanelSpec = Panel
 
 
 def ingest_summary(
-    batch: DataFrame,
-    registry: DataFrame,
-    run_date: dt.date | str,
-    spec: PanelSpec = PanelSpec(),
-    lists: bool | None = None,
-    list_limit: int = 10_000,
+    batch: DataFrame, registry: DataFrame, run_date: dt.date | str, spec: PanelSpec = PanelSpec()
 ) -> DataFrame:
-    """One row per run: status code (200 if any key arrived, else 500), counts and a JSON body.
+    """One row per run: status code (200 if any key arrived, else 500), counts and a JSON body of them.
 
-    The body lists the processed and failed keys only while the registry is known to be short:
-    ``lists=None`` checks it against ``list_limit`` (reading no more rows than that).  Beyond it the
-    body carries the counts, and ``ingest_status`` has the keys, one row each.
+    The body is the same at every size; ``ingest_status`` has the keys, one row each.
     """
-    if lists is None:
-        lists = registry.limit(list_limit + 1).count() <= list_limit
     status = ingest_status(batch, registry, spec)
-    done, failed = F.col("status") == PROCESSED, F.col("status") == FAILED
-    aggregates = [F.count_if(done).alias("n_processed"), F.count_if(failed).alias("n_failed")]
-    if lists:
-        aggregates += [
-            F.sort_array(F.collect_list(F.when(done, F.col(spec.key)))).alias("tickers_processed"),
-            F.sort_array(F.collect_list(F.when(failed, F.col(spec.key)))).alias("tickers_failed"),
-        ]
-    body = ["tickers_processed", "tickers_failed"] if lists else ["n_processed", "n_failed"]
-    return (
-        status.agg(*aggregates)
-        .withColumn("run_date", F.lit(str(run_date)))
-        .select(
-            "run_date",
-            F.when(F.col("n_processed") > 0, OK).otherwise(ERROR).alias("status_code"),
-            "n_processed",
-            "n_failed",
-            F.to_json(F.struct("run_date", *body)).alias("body"),
-        )
+    counts = status.agg(
+        F.count_if(F.col("status") == PROCESSED).alias("n_processed"),
+        F.count_if(F.col("status") == FAILED).alias("n_failed"),
+    )
+    return counts.withColumn("run_date", F.lit(str(run_date))).select(
+        "run_date",
+        F.when(F.col("n_processed") > 0, OK).otherwise(ERROR).alias("status_code"),
+        "n_processed",
+        "n_failed",
+        F.to_json(F.struct("run_date", "n_processed", "n_failed")).alias("body"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators.quality import failed_casts
 from ..spec import PanelSpec
 
 
@@ -31,7 +32,11 @@ class StageObserver:
 
 
 def staging_metrics(raw: DataFrame, staging: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
-    """``(metric, value)`` rows of the raw-to-staging step, from one pass over each zone."""
+    """``(metric, value)`` rows of the raw-to-staging step, from one pass over each zone for each kind.
+
+    ``failed_casts`` counts values of raw bars that staging has as NULL; ``operators.quality.failed_casts``
+    has them by column.
+    """
     copies = raw.groupBy(*spec.grid).agg(F.count("*").alias("copies"))
     before = copies.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("raw_rows"),
@@ -41,7 +46,8 @@ def staging_metrics(raw: DataFrame, staging: DataFrame, spec: PanelSpec = PanelS
         F.count("*").alias("rows_after_fill"),
         F.count_if("is_volume_outlier").alias("volume_outliers"),
     )
-    return _tall(before).unionByName(_tall(after))
+    lost = failed_casts(raw, spec).agg(F.sum("failed").alias("failed_casts"))
+    return _tall(before).unionByName(_tall(after)).unionByName(_tall(lost))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

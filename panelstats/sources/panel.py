@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..spec import DAY, PanelSpec
 
+# Columns of the published dimension.
 DIM_COLUMNS = ("ticker", "etf_name", "provider", "category", "index_tracked", "currency", "exchange")
 
 
@@ -63,29 +64,35 @@ def normalize_bars(
     names: DataFrame | None = None,
     exchange_tz: str | None = None,
     keep: Sequence[str] = (),
+    zone: str | None = None,
 ) -> DataFrame:
     """Shape a vendor frame into raw bars.
 
     Column names are lower-cased and their spaces become underscores; columns outside the bar are
-    dropped unless in ``keep``.  An instant is turned into the wall time of ``exchange_tz`` (of the session without
-    one), then truncated to milliseconds.  ``names`` (key, display name) adds the display name, and
-    ``asof`` the ingestion date as ISO text.
+    dropped unless in ``keep``.  An instant is turned into wall time, then truncated to milliseconds: that of
+    the instrument's own zone if ``names`` has one in its column ``zone``, else of ``exchange_tz``, else of
+    the session.  ``names`` (key, display name) adds the display name, and ``asof`` the ingestion date as
+    ISO text.
     """
     renamed = df.toDF(*[c.lower().replace(" ", "_") for c in df.columns])
+    own = F.lit(None).cast("string")
+    if names is not None:
+        extra = [F.col(spec.name).alias("_name")] + ([F.col(zone).alias("_zone")] if zone else [])
+        own = F.col("_zone") if zone else own
+        renamed = renamed.join(names.select(spec.key, *extra), spec.key, "left")
     wall = F.col(spec.ts)
     if isinstance(renamed.schema[spec.ts].dataType, T.TimestampType):
-        wall = wall.cast("timestamp_ntz")
-        if exchange_tz is not None:
-            wall = F.convert_timezone(F.current_timezone(), F.lit(exchange_tz), wall)
+        here = F.current_timezone()
+        to = F.coalesce(own, F.lit(exchange_tz), here)
+        wall = F.convert_timezone(here, to, wall.cast("timestamp_ntz"))
     bars = renamed.select(
         F.date_trunc("millisecond", wall).cast("timestamp_ntz").alias(spec.ts),
         *[c for c in renamed.columns if c in {*spec.measures, spec.key}],
         *([spec.name] if names is None and spec.name in renamed.columns else []),
         F.lit(None if asof is None else str(asof)).cast("string").alias(spec.version),
         *keep,
+        *([F.col("_name").alias(spec.name)] if names is not None else []),
     )
-    if names is not None:
-        bars = bars.join(names.select(spec.key, spec.name), spec.key, "left")
     return bars
 
 

@@ -7,9 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from ..spec import PanelSpec
 
 BUCKET = "key_bucket"
+#: Begin of the name of the empty file that states a bucket count.
+COUNT = "_buckets-"
 
 
 def write_fact(
@@ -73,21 +76,27 @@ def replace_keys(
     """Replace the whole history of every arriving key; other keys keep their data.
 
     Without ``buckets`` each key is a directory and only the arriving directories are overwritten.
-    With ``buckets`` keys share hashed directories: those that receive a key are rewritten with
-    their other keys carried over.  The count must be the same on every call for a path.
+    With ``buckets`` keys share hashed directories: those that receive a key, and only those, are read
+    and rewritten with their other keys carried over.  The first call stores the count with the zone,
+    and another count is refused.  Columns that only one side has are kept, NULL on the other; a column
+    that changes its type is refused.  The arrivals are evaluated once.
     """
     spark = df.sparkSession
     if buckets is None:
         out, by = df, spec.key
     else:
         by = BUCKET
-        out = df.withColumn(BUCKET, F.pmod(F.xxhash64(spec.key), F.lit(buckets)).cast("int"))
-        if _exists(spark, path):
-            arriving = out.select(BUCKET, spec.key).distinct()
-            stored = spark.read.schema(out.schema).parquet(path)
-            touched = stored.join(arriving.select(BUCKET).distinct(), BUCKET, "left_semi")
-            kept = touched.join(arriving, [BUCKET, spec.key], "left_anti")
-            out = out.unionByName(kept)
+        claim_buckets(spark, path, buckets)
+        number = F.pmod(F.xxhash64(spec.key), F.lit(buckets)).cast("int")
+        out = arrivals = stored(df.withColumn(BUCKET, number), "arrivals")
+        touched = [r[0] for r in arrivals.select(BUCKET).distinct().collect()]  # at most ``buckets``
+        folders = [f for b in sorted(touched) if exists(spark, f := f"{path}/{BUCKET}={b}")]
+        if folders:
+            before = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders)
+            _same_types(arrivals, before)
+            keys = arrivals.select(F.col(spec.key).alias("_arriving")).distinct()
+            kept = before.join(keys, F.col(spec.key).eqNullSafe(F.col("_arriving")), "left_anti")
+            out = arrivals.unionByName(kept, allowMissingColumns=True)
     (
         out.hint("rebalance", by)
         .sortWithinPartitions(by, spec.key, spec.ts)
@@ -125,13 +134,49 @@ def _write_bucketed(
     return spark.table(table)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a zone has been written: reading it would otherwise fail to resolve."""
-    from pyspark.errors import AnalysisException
+def register_bucketed(
+    spark: SparkSession, path: str, table: str, key: str, order: list[str], buckets: int
+) -> DataFrame:
+    """A stored bucketed zone as a table of this session's catalog, if it isn't one yet."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    by = ", ".join(f"`{c}`" for c in order)
+    spark.sql(
+        f"create table if not exists {table} ({columns}) using parquet "
+        f"clustered by (`{key}`) sorted by ({by}) into {buckets} buckets location '{path}'"
+    )
+    return spark.table(table)
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it names it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket count stored with a zone or warehouse, if there is one."""
+    files, place = _place(spark, f"{path}/{COUNT}*")
+    found = files.globStatus(place) or []
+    return int(found[0].getPath().getName().removeprefix(COUNT)) if len(found) else None
+
+
+def claim_buckets(spark: SparkSession, path: str, buckets: int) -> None:
+    """Store the bucket count with a zone, or refuse another one than is stored."""
+    known = stored_buckets(spark, path)
+    if known is None:
+        files, place = _place(spark, f"{path}/{COUNT}{buckets}")
+        files.createNewFile(place)
+    elif known != buckets:
+        raise ValueError(f"{path} has {known} buckets, not {buckets}")
+
 
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
+def _same_types(arriving: DataFrame, before: DataFrame) -> None:
+    kinds = dict(before.dtypes)
+    differ = [c for c, t in arriving.dtypes if kinds.get(c, t) != t]
+    if differ:
+        raise ValueError(f"stored columns have other types: {', '.join(differ)}")

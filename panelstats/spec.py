@@ -45,6 +45,7 @@ class PanelSpec:
     volume_outlier_z: float = 3.0
     high_volume_z: float = 2.0
     bucket_width: float = 0.5
+    trend_tolerance: float = 1e-12
 
     def __post_init__(self) -> None:
         if self.grain not in (DAY, INSTANT):

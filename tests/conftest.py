@@ -38,6 +38,9 @@ def plan_of():
     """The final physical plan as text: run adaptively, then read."""
 
     def text(df) -> str:
-        return df._jdf.queryExecution().executedPlan().toString()
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=false" not in plan
+        return plan.split("== Initial Plan ==")[0]
 
     return text

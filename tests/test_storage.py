@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcheck import market
 from panelstats.plans.staging import build_staging
+from panelstats.plans.star import rolling_fact
 from panelstats.plans.warehouse import TABLES, Warehouse, publish
 from panelstats.sources import ingest, metrics, panel, sinks
 from panelstats.spec import PanelSpec
@@ -108,7 +109,7 @@ def test_bucketed_zone_reads_back_by_path_too(spark, zones):
 
 
 def test_dimension_from_rows_and_csv(spark, tmp_path):
-    rows = [("SPY", "A fund", "P", "Equity", "S&P 500", "USD", "NYSE")]
+    rows = [("XMPL", "An example", "P", "Made up", "None", "USD", "NYSE")]
     dim = panel.dim_from_rows(spark, rows)
     path = str(tmp_path / "csv")
     sinks.export_csv(dim, path)
@@ -135,18 +136,116 @@ def test_history_is_half_open(spark):
     assert [r.close for r in kept.collect()] == [2.0]
 
 
-def test_summary_lists_short_registries_only(spark):
+def test_summary_is_the_same_at_every_size(spark):
     registry = spark.createDataFrame([("A",), ("B",), ("C",)], "ticker string")
     batch = bars(spark, ("A", 0, 1.0, 1, "1"), ("C", 0, 1.0, 1, "1"))
     row = ingest.ingest_summary(batch, registry, "2024-01-02").collect()[0]
     assert (row.status_code, row.n_processed, row.n_failed) == (200, 2, 1)
-    assert json.loads(row.body) == {
-        "run_date": "2024-01-02", "tickers_processed": ["A", "C"], "tickers_failed": ["B"]
-    }
-    long = ingest.ingest_summary(batch, registry, "2024-01-02", list_limit=2).collect()[0]
-    assert json.loads(long.body) == {"run_date": "2024-01-02", "n_processed": 2, "n_failed": 1}
+    assert json.loads(row.body) == {"run_date": "2024-01-02", "n_processed": 2, "n_failed": 1}
     nothing = ingest.ingest_summary(batch.limit(0), registry, "2024-01-02").collect()[0]
-    assert nothing.status_code == 500 and json.loads(nothing.body)["tickers_processed"] == []
+    assert nothing.status_code == 500 and json.loads(nothing.body)["n_processed"] == 0
+    status = {r.ticker: (r.rows, r.status) for r in ingest.ingest_status(batch, registry).collect()}
+    assert status == {"A": (1, "processed"), "B": (0, "failed"), "C": (1, "processed")}
+
+
+def test_stored_columns_survive_and_new_ones_come_in(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    sinks.replace_keys(bars(spark, *[(k, 0, 1.0, 5, "1") for k in "ABCDE"]), path, SPEC, 2)
+    sinks.replace_keys(bars(spark, ("B", 0, 2.0, 6, "2")).drop("volume"), path, SPEC, 2)
+    wider = bars(spark, ("C", 0, 3.0, 7, "3")).withColumn("note", F.lit("new"))
+    sinks.replace_keys(wider, path, SPEC, 2)
+    got = spark.read.option("mergeSchema", True).parquet(path).fillna(-1)
+    assert content(got, "ticker", "volume", "note") == [("A", 5, None), ("B", -1, None), ("C", 7, "new"), ("D", 5, None), ("E", 5, None)]
+    with pytest.raises(ValueError, match="other types: volume"):
+        sinks.replace_keys(bars(spark, ("A", 0, 1.0, 1, "1")).withColumn("volume", F.lit("x")), path, SPEC, 2)
+
+
+def test_bucket_count_is_a_property_of_the_zone(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    first = bars(spark, *[(k, 0, 1.0, 1, "1") for k in "ABCDE"])
+    sinks.replace_keys(first, path, SPEC, 4)
+    with pytest.raises(ValueError, match="has 4 buckets, not 3"):
+        sinks.replace_keys(first, path, SPEC, 3)
+    assert sinks.stored_buckets(spark, path) == 4 and spark.read.parquet(path).count() == 5
+
+
+def test_only_touched_directories_are_read_and_written(spark, tmp_path):
+    path = tmp_path / "raw"
+    sinks.replace_keys(bars(spark, *[(f"k{i}", 0, 1.0, 1, "1") for i in range(40)]), str(path), SPEC, 8)
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    for f in path.rglob("*.parquet"):  # whatever else is read would fail
+        if f.parent.name != "key_bucket=" + str(spark.sql("select pmod(xxhash64('k3'), 8)").first()[0]):
+            f.write_bytes(b"unreadable")
+    sinks.replace_keys(bars(spark, ("k3", 0, 9.0, 1, "2")), str(path), SPEC, 8)
+    assert sum(f.exists() for f in before) == len(before) - 1
+
+
+def test_one_batch_and_two_give_the_same_history(spark, tmp_path):
+    """The newest file of a key replaces what older ones have of it."""
+    old = bars(spark, *[("A", d, 1.0, 1, "x") for d in range(3)], ("B", 0, 5.0, 1, "x")).coalesce(1)
+    new = bars(spark, *[("A", d, 2.0, 1, "x") for d in range(2)]).coalesce(1)
+    found = []
+    for between in (False, True):
+        landing, raw, state = (str(tmp_path / f"{between}-{d}") for d in ("landing", "raw", "state"))
+        take = lambda: ingest_landed(spark, landing, raw, state, old.schema, "2024-01-02", buckets=3)  # noqa: B023, E731
+        old.write.mode("append").parquet(landing)
+        if between:
+            take()
+        time.sleep(1.1)
+        new.write.mode("append").parquet(landing)
+        take()
+        found.append(content(panel.read_panel(spark, raw), "ticker", "date", "close"))
+    assert found[0] == found[1] and [(t, c) for t, _, c in found[0]] == [("A", 2.0), ("A", 2.0), ("B", 5.0)]
+
+
+def test_every_instrument_has_its_own_zone(spark):
+    names = spark.createDataFrame([("L", "London", "Europe/London"), ("N", "York", "America/New_York"), ("X", "none", None)], "ticker string, etf_name string, tz string")
+    df = spark.sql(
+        "select timestamp'2024-06-30 23:00:00Z' as Date, 1.0D as Close, 'L' as Ticker union all "
+        "select timestamp'2024-07-01 04:00:00Z', 2.0D, 'N' union all select timestamp'2024-07-01 00:00:00Z', 3.0D, 'X'"
+    )
+    out = panel.normalize_bars(df, SPEC, names=names, zone="tz")
+    assert {r.ticker: r.date for r in out.collect()} == {k: dt.datetime(2024, 7, 1) for k in "LNX"}
+
+
+def test_legacy_dates_need_their_mode(spark, tmp_path):
+    """A day before the Gregorian calendar, written as old writers did: as the same number of days."""
+    path = str(tmp_path / "raw" / "ticker=A")
+    conf = "spark.sql.parquet.datetimeRebaseModeInWrite"
+    spark.conf.set(conf, "LEGACY")
+    try:
+        spark.sql("select date'1500-03-01' as date, 1.0D as close").write.parquet(path)
+    finally:
+        spark.conf.unset(conf)
+    bare = spark.sql("select date'1500-03-10' as date, 1.0D as close")
+    bare.write.option("datetimeRebaseMode", "CORRECTED").parquet(str(tmp_path / "plain" / "ticker=A"))
+    legacy = panel.read_panel(spark, str(tmp_path / "raw"), rebase="LEGACY").first().date
+    assert legacy == dt.date(1500, 3, 1)
+    assert panel.read_panel(spark, str(tmp_path / "plain")).first().date == dt.date(1500, 3, 10)
+
+
+def test_reopened_warehouse_needs_no_exchange(spark, zones, tmp_path, plan_of):
+    root = str(tmp_path / "a-b")
+    house = Warehouse(spark, root, buckets=4)
+    house.write_star(house.write_staging(zones.raw), zones.attrs)
+    for zone in ("staging", *TABLES):
+        spark.sql(f"drop table {house.table(zone)}")  # as a new catalog, which knows nothing
+    again = Warehouse(spark, root)
+    stored = again.open()
+    assert set(stored) == {"staging", *TABLES} and again.bucket_count() == 4
+    assert "Exchange" not in plan_of(rolling_fact(stored["staging"]))
+    assert stored["fact_rolling"].count() == zones.rolling.count()
+    assert Warehouse(spark, str(tmp_path / "a_b")).table("staging") != house.table("staging")
+    with pytest.raises(ValueError, match="has 4 buckets"):
+        Warehouse(spark, root, buckets=5).bucket_count()
+
+
+def test_unbounded_series_are_refused(spark, tmp_path):
+    ticks = PanelSpec(grain="instant")
+    with pytest.raises(ValueError, match="bounded length"):
+        Warehouse(spark, str(tmp_path / "x"), ticks)
+    with pytest.raises(ValueError, match="bounded length"):
+        rolling_fact(run(spark, [1.0]), ticks)
 
 
 def test_schema_report(spark):
@@ -163,9 +262,9 @@ def test_landed_files_are_taken_once(spark, tmp_path):
         ingest_landed(spark, landing, raw, state, schema, asof)
         return content(panel.read_panel(spark, raw), "ticker", "close", "ingestion_date")
 
-    bars(spark, ("A", 0, 1.0, 1, "x"), ("B", 0, 2.0, 1, "x")).write.mode("append").parquet(landing)
+    bars(spark, ("A", 0, 1.0, 1, "x"), ("B", 0, 2.0, 1, "x")).coalesce(1).write.mode("append").parquet(landing)
     assert take("2024-01-02") == [("A", 1.0, "2024-01-02"), ("B", 2.0, "2024-01-02")]
-    bars(spark, ("B", 0, 3.0, 1, "x"), ("B", 1, 4.0, 1, "x")).write.mode("append").parquet(landing)
+    bars(spark, ("B", 0, 3.0, 1, "x"), ("B", 1, 4.0, 1, "x")).coalesce(1).write.mode("append").parquet(landing)
     later = [("A", 1.0, "2024-01-02"), ("B", 3.0, "2024-01-03"), ("B", 4.0, "2024-01-03")]
     assert take("2024-01-03") == later
     assert take("2024-01-04") == later
