@@ -665,34 +665,41 @@ query(
 query("v_category_performance", sql(_PERFORMANCE, "staging", "attrs"))(
     lambda z: views.category_performance(z.prices, z.dim, SPEC)
 )
+# Written over the whole of a series' indicators per day, not over the two facts.
+_DAYS = """
+    , days as (
+      select ticker, date, daily_return, close_norm, vol, "close" / nullif(peak, 0) - 1 down, etf_name, category, provider
+      from (select ticker, date, daily_return, close_norm, "close",
+                   stddev_samp(daily_return) over (w rows between 29 preceding and current row) * sqrt(252) vol,
+                   max("close") over (w rows between unbounded preceding and current row) peak
+            from staging window w as (partition by ticker order by date))
+      join (select ticker, etf_name, category, provider from attrs) using (ticker))
+"""
 _VOLATILITY = f"""
-    select category, strftime(date, '%Y-%m') year_month,
-           {r('avg(volatility_30_annualized)', 4, 'avg_volatility')},
-           {r('min(drawdown) * 100', 2, 'worst_drawdown_pct')}, count(distinct r.ticker) etf_count
-    from rolling r join dim d on r.ticker = d.ticker group by 1, 2
+    select category, left(cast(date as varchar), 7) year_month, {r('sum(vol) / count(vol)', 4, 'avg_volatility')},
+           {r('100 * min(down)', 2, 'worst_drawdown_pct')}, count(distinct ticker) etf_count
+    from days group by all
 """
-query("v_category_volatility", sql(_VOLATILITY, "rolling", "dim"))(
+query("v_category_volatility", sql(_DAYS + _VOLATILITY, "staging", "attrs"))(
     lambda z: views.category_volatility(z.rolling, z.dim, SPEC)
 )
 _RISK = f"""
-    select p.ticker, etf_name, category, provider,
-           {r('max(cumulative_return) * 100', 2, 'total_return_pct')},
-           {r('avg(volatility_30_annualized) * 100', 2, 'avg_volatility_pct')},
-           {r('max(cumulative_return) / nullif(avg(volatility_30_annualized), 0)', 2, 'return_to_risk_ratio')},
-           {r('min(drawdown) * 100', 2, 'max_drawdown_pct')}, count(distinct p.date) trading_days
-    from prices p join rolling r on p.ticker = r.ticker and p.date = r.date
-    join dim d on p.ticker = d.ticker group by 1, 2, 3, 4
+    select ticker, etf_name, category, provider, {r('top - 100', 2, 'total_return_pct')},
+           {r('100 * vol', 2, 'avg_volatility_pct')}, {r('(top - 100) / 100 / nullif(vol, 0)', 2, 'return_to_risk_ratio')},
+           {r('100 * low', 2, 'max_drawdown_pct')}, trading_days
+    from (select ticker, any_value(etf_name) etf_name, any_value(category) category, any_value(provider) provider,
+                 max(close_norm) top, sum(vol) / count(vol) vol, min(down) low, count(*) trading_days
+          from days group by ticker)
 """
-query("v_risk_return", sql(_RISK, "prices", "rolling", "dim"))(
+query("v_risk_return", sql(_DAYS + _RISK, "staging", "attrs"))(
     lambda z: views.risk_return(z.prices, z.rolling, z.dim, SPEC)
 )
 query(
     "v_risk_return_last",
     sql(
-        _RISK.replace("max(cumulative_return)", "arg_max(cumulative_return, p.date)"),
-        "prices",
-        "rolling",
-        "dim",
+        _DAYS + _RISK.replace("max(close_norm)", "arg_max(close_norm, date)"),
+        "staging",
+        "attrs",
     ),
 )(lambda z: views.risk_return(z.prices, z.rolling, z.dim, SPEC, total="last"))
 query(
@@ -708,18 +715,17 @@ query(
 query(
     "v_volatility_heatmap",
     sql(
-        f"""
-        select r.ticker, etf_name, category, strftime(r.date, '%Y-%m') year_month,
-               cast(year(r.date) as integer) "year", cast(month(r.date) as integer) "month",
-               {r('avg(volatility_30_annualized)', 4, 'avg_volatility')},
-               {r('avg(p.daily_return)', 4, 'avg_daily_return')},
-               {r('(max(p.close_norm) - min(p.close_norm)) / nullif(min(p.close_norm), 0)', 4, 'monthly_range')}
-        from rolling r join prices p on r.ticker = p.ticker and r.date = p.date
-        join dim d on r.ticker = d.ticker group by 1, 2, 3, 4, 5, 6
+        _DAYS
+        + f"""
+        select ticker, etf_name, category, left(m, 7) year_month, cast(left(m, 4) as integer) "year",
+               cast(substr(m, 6, 2) as integer) "month", {r('vol', 4, 'avg_volatility')},
+               {r('ret', 4, 'avg_daily_return')}, {r('high / nullif(low, 0) - 1', 4, 'monthly_range')}
+        from (select ticker, etf_name, category, cast(date_trunc('month', date) as varchar) m,
+                     sum(vol) / count(vol) vol, sum(daily_return) / count(daily_return) ret,
+                     max(close_norm) high, min(close_norm) low from days group by all)
         """,
-        "prices",
-        "rolling",
-        "dim",
+        "staging",
+        "attrs",
     ),
 )(lambda z: views.volatility_heatmap(z.prices, z.rolling, z.dim, SPEC))
 query(
@@ -753,7 +759,7 @@ query(
 )(lambda z: views.anomaly_detail(z.anomalies, z.dim, SPEC))
 
 
-@query("select_from_view", sql(_VOLATILITY, "rolling", "dim"))
+@query("select_from_view", sql(_DAYS + _VOLATILITY, "staging", "attrs"))
 def _select_star(z: Zones) -> DataFrame:
     publish(z.star, SPEC)
     return z.spark.sql("select * from v_category_volatility")
@@ -783,7 +789,7 @@ query(
         "prices",
     ),
 )(lambda z: reports.coverage(z.prices, SPEC))
-query("risk_return_by_category", sql(_RISK, "prices", "rolling", "dim"))(
+query("risk_return_by_category", sql(_DAYS + _RISK, "staging", "attrs"))(
     lambda z: reports.risk_return_by_category(_risk(z), SPEC)
 )
 query("performance_over_time", sql(_PERFORMANCE, "staging", "attrs"))(
@@ -791,7 +797,7 @@ query("performance_over_time", sql(_PERFORMANCE, "staging", "attrs"))(
         views.category_performance(z.prices, z.dim, SPEC, ordered=False), SPEC
     )
 )
-query("volatility_over_time", sql(_VOLATILITY, "rolling", "dim"))(
+query("volatility_over_time", sql(_DAYS + _VOLATILITY, "staging", "attrs"))(
     lambda z: reports.volatility_over_time(
         views.category_volatility(z.rolling, z.dim, SPEC, ordered=False), SPEC
     )
@@ -800,13 +806,13 @@ query("volatility_over_time", sql(_VOLATILITY, "rolling", "dim"))(
 
 def _top_sql(by: str) -> str:
     return sql(
-        f"""
+        _DAYS
+        + f"""
         select ticker, etf_name, category, total_return_pct, avg_volatility_pct, return_to_risk_ratio,
                max_drawdown_pct from ({_RISK}) order by {by} desc nulls last, ticker limit 5
         """,
-        "prices",
-        "rolling",
-        "dim",
+        "staging",
+        "attrs",
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from panelcheck import market
 from panelstats.operators.quality import dedup, filter_abs
-from panelstats.plans import reports, views
+from panelstats.plans import distribution, reports, views
 from panelstats.plans.staging import build_staging
 from panelstats.plans.star import rolling_fact
 from panelstats.spec import PanelSpec
@@ -118,3 +118,16 @@ def test_no_query_multiplies_rows(zones, plan_of):
         plan = plan_of(build(zones))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         assert "Python" not in plan and "Pandas" not in plan, name
+
+
+def test_correlation_is_placed_by_key_and_day(spark, zones, plan_of, no_broadcast):
+    """One series is in all pairs: its rows still go to many tasks, on either side."""
+    keys = [r.ticker for r in zones.dim.select("ticker").collect()]
+    pairs = [(k, keys[0]) for k in keys[1:]] + [(keys[0], k) for k in keys[1:]]
+    frame = spark.createDataFrame(pairs, "key_a string, key_b string")
+    got = distribution.return_correlation(zones.prices, frame)
+    plan = plan_of(got)
+    assert re.search(r"hashpartitioning\(key_b#\d+, date#\d+", plan)
+    assert re.search(r"hashpartitioning\(key_a#\d+, _slice#\d+", plan)
+    same = {(r.key_a, r.key_b): (r.days, round(r.correlation, 9)) for r in got.collect()}
+    assert len(same) == len(pairs) and all(same[a, b] == same[b, a] for a, b in same)

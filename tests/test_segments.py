@@ -98,3 +98,30 @@ def test_hot_series_is_spread_and_carried_rows_are_few(spark, tmp_path):
     assert cut.spans.count() <= 2 * 16
     assert cut.spans.groupBy("ticker").agg(F.sum("rows").alias("n")).filter("ticker = 'hot'").first().n == 10_000
     assert cut.unsegmented().exceptAll(df).isEmpty() and cut.rows.count() == 30_000
+
+
+def test_bars_without_a_time_are_dropped_alike(spark, tmp_path):
+    from panelstats.operators.quality import failed_casts
+    from panelstats.operators.segments import segmented_staging
+    from panelstats.plans.staging import build_staging
+    from panelstats.spec import PanelSpec
+
+    rows = [("A", "2024-01-02", "1.5", "7"), ("A", None, "9", "9"), ("A", "no day", "9", "9"), ("A", "2024-01-03", "2.5", "1000.0"), ("A", "2024-01-04", "x", "1e3")]
+    raw = spark.createDataFrame(rows, "ticker string, date string, close string, volume string")
+    raw = raw.selectExpr("*", "close open", "close high", "close low", "'n' etf_name", "'1' ingestion_date")
+    spec = PanelSpec()
+    plain = build_staging(raw, spec)
+    cut = segmented_staging(raw, spec, str(tmp_path / "cut"), 4).unsegmented()
+    show = lambda df: sorted((str(r.date), r.close, r.volume) for r in df.collect())
+    assert show(plain) == show(cut) == [("2024-01-02", 1.5, 7), ("2024-01-03", 2.5, 1000), ("2024-01-04", 2.5, 1000)]
+    failed = {r.column: r.failed for r in failed_casts(raw, spec).collect()}
+    assert failed["date"] == 1 and failed["close"] == 1 and failed["volume"] == 0
+
+
+def test_exact_trend_with_no_tolerance(spark):
+    from panelstats.functions.scalars import trend_signal
+
+    row = spark.sql("select 1.0D + 1e-14D as close, 1.0D as sma").select(
+        trend_signal("close", "sma").alias("near"), trend_signal("close", "sma", tolerance=0.0).alias("exact")
+    ).first()
+    assert (row.near, row.exact) == ("at_sma252", "above_sma252")
