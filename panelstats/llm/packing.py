@@ -49,10 +49,10 @@ SLOTS = 64
 
 
 #: Words kept for the next texts, in two generations of this size at most.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 200_000
 #: A place where the tokenizer parts words from marks anyway.
 _MARKS = re.compile(rb"(?<=[a-z])(?=[.,!%#&$*])")
-_tokenizers: dict[str, object] = {}
+_encoders: dict[str, WordIds] = {}
 
 
 class WordIds:
@@ -65,12 +65,17 @@ class WordIds:
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
-        if tokenizer_path not in _tokenizers:  # once per Python worker; the words go with the task
-            _tokenizers[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer = _tokenizers[tokenizer_path]
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    @classmethod
+    def shared(cls, tokenizer_path: str) -> WordIds:
+        """One per Python worker: its tasks share the tokenizer and the words met lately."""
+        if tokenizer_path not in _encoders:
+            _encoders[tokenizer_path] = cls(tokenizer_path)
+        return _encoders[tokenizer_path]
+
     def _learn(self, some: list[bytes]) -> None:
         shown = [w.decode("utf-8", "surrogatepass") for w in some]
         begins = np.cumsum([0, *(len(w) + 1 for w in shown)])
@@ -112,7 +117,7 @@ def pieces(
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, width = WordIds(tokenizer_path), 4 * capacity
+        cache, width = WordIds.shared(tokenizer_path), 4 * capacity
         for rows in batches:
             out = defaultdict(list)
             doc_ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
