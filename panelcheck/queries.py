@@ -18,6 +18,7 @@ from panelstats.operators import aggregates as agg
 from panelstats.operators import joins, ordering, quality, segments, series
 from panelstats.operators.calendar import densify
 from panelstats.plans import distribution, reports, star, views
+from panelstats.plans.segmented import write_segmented_star
 from panelstats.plans.staging import build_staging, clean_bars
 from panelstats.plans.warehouse import publish
 from panelstats.sources import ingest, metrics, panel, sinks
@@ -648,6 +649,34 @@ def _tick_rolling(z: Zones) -> DataFrame:
     return rounded(segments.segmented_rolling(cut), **SMAS)
 
 
+@query(
+    "tick_star",
+    sql(
+        f"""
+        select t.ticker, t.date, "close", {r('close_norm', 6)}, {r('sma_20', 9)}, {r('drawdown', 6)}, n "anomalies"
+        from (select ticker, date, "close", close_norm, "close" / nullif(peak, 0) - 1 drawdown, sma_20 from (
+                select *, max("close") over (w rows between unbounded preceding and current row) peak,
+                       avg("close") over (w rows between 19 preceding and current row) sma_20
+                from tick_staging window w as (partition by ticker order by date))) t
+        left join (select ticker, count(*) filter (abs(return_zscore) > 2.5) n from tick_staging group by 1) using (ticker)
+        """,
+        "tick_staging",
+    ),
+)
+def _tick_star(z: Zones) -> DataFrame:
+    """Both facts of the ticks and the anomalies of each stream, from the stored star."""
+    cut = segments.segmented_staging(market.tick_bars(z.spark, z.sf_dir), TICKS, z.scratch("ticks"), parallelism(z, 64))
+    streams = cut.rows.select("ticker").distinct()
+    tables = write_segmented_star(cut, streams, z.scratch("tick_star"))
+    both = joins.align_facts(
+        tables["fact_prices"], tables["fact_rolling"], TICKS.grid, ["close", "close_norm"], ["sma_20", "drawdown"]
+    )
+    found = agg.row_count(tables["fact_anomalies"], [K], "anomalies")
+    named = joins.dim_with_stats(tables["dim_etf"].select(K), found, K)
+    counted = joins.with_dim(both, named, K, ["anomalies"]).fillna(0, ["anomalies"])
+    return rounded(counted, sma_20=9)
+
+
 # Views
 
 query(

@@ -143,7 +143,7 @@ def segmented_staging(
     return SegmentedPanel(raw.sparkSession.read.parquet(staging), scored.spans, spec)
 
 
-def segmented_rolling(panel: SegmentedPanel) -> DataFrame:
+def segmented_rolling(panel: SegmentedPanel, keep_segment: bool = False) -> DataFrame:
     """``rolling_fact`` for series of any length, from rows with a return and a rebased price."""
     spec, part, ts, price = panel.spec, panel.part, panel.spec.ts, panel.spec.close
     peaks = _carry(panel, {"peak": (F.max(price), F.max)})
@@ -160,7 +160,7 @@ def segmented_rolling(panel: SegmentedPanel) -> DataFrame:
     return (
         df.withColumn("drawdown", change(price, "_peak"))
         .filter(~F.col(HALO))
-        .drop(price, SEGMENT, HALO, "_peak", "_carried_peak")
+        .drop(price, HALO, "_peak", "_carried_peak", *([] if keep_segment else [SEGMENT]))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,12 @@ def build_dim(attrs: DataFrame, staging: DataFrame, spec: PanelSpec = PanelSpec(
     return dim_with_stats(attrs, series_stats(staging, spec.key, spec.ts, spec.volume), spec.key)
 
 
-def price_fact(staging: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+# Names and order of the published columns.
+
+
+def price_fact(staging: DataFrame, spec: PanelSpec = PanelSpec(), keep: Sequence[str] = ()) -> DataFrame:
     return staging.select(
+        *keep,
         *spec.grid,
         *spec.measures,
         "close_norm",
@@ -47,10 +53,11 @@ def rolling_fact(staging: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame
     return drawdown(df, key, ts, price).drop(price)
 
 
-def anomaly_fact(staging: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+def anomaly_fact(staging: DataFrame, spec: PanelSpec = PanelSpec(), keep: Sequence[str] = ()) -> DataFrame:
     """Rows whose return is unusual for their series, with direction and severity."""
     unusual = filter_abs(staging, "return_zscore", spec.anomaly_z)
     return unusual.select(
+        *keep,
         *spec.grid,
         spec.close,
         "daily_return",

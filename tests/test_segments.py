@@ -125,3 +125,37 @@ def test_exact_trend_with_no_tolerance(spark):
         trend_signal("close", "sma").alias("near"), trend_signal("close", "sma", tolerance=0.0).alias("exact")
     ).first()
     assert (row.near, row.exact) == ("at_sma252", "above_sma252")
+
+
+def test_a_series_with_half_of_all_rows_is_stored_and_joined_by_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from panelstats.operators.joins import align_facts
+    from panelstats.operators.segments import segmented_staging
+    from panelstats.plans.segmented import write_segmented_star
+    from panelstats.spec import PanelSpec
+
+    spec = PanelSpec(grain="instant")
+    raw = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("ticker"),
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("date"),
+        *[(100 + F.pmod(F.xxhash64("id", F.lit(c)), F.lit(10_007))).cast("double").alias(c) for c in spec.prices],
+        F.col("id").alias("volume"), F.lit("n").alias("etf_name"), F.lit("1").alias("ingestion_date"),
+    )
+    cut = segmented_staging(raw, spec, str(tmp_path / "cut"), 16)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "16k")
+    try:
+        star = write_segmented_star(cut, raw.select("ticker").distinct(), str(tmp_path / "star"))
+    finally:
+        spark.conf.unset(size)
+    for fact in ("fact_prices", "fact_rolling"):
+        hot = star[fact].filter("ticker = 'hot'")
+        assert hot.select(F.input_file_name()).distinct().count() > 2 and hot.count() == 10_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = align_facts(star["fact_prices"], star["fact_rolling"], spec.grid, ["close"], ["drawdown"])
+        tasks = both.filter("ticker = 'hot'").select(F.spark_partition_id()).distinct().count()
+        assert both.count() == 20_000 and tasks > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
