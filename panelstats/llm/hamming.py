@@ -38,10 +38,11 @@ K = 10
 
 def sign_code(vector: Column) -> Column:
     """Bit i is set where component i is positive."""
-    code = F.lit(0).cast("long")
-    for i in range(BITS):
-        code = code.bitwiseOR(F.when(F.get(vector, F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.when(F.coalesce(F.size(vector), F.lit(0)) > BITS, F.raise_error(F.lit("codes have 64 bits"))).otherwise(code).cast("long")
+    powers = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)))
+    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.get(powers, i)).otherwise(F.lit(0).cast("long")))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    too_long = F.coalesce(F.size(vector), F.lit(0)) > BITS
+    return F.when(too_long, F.raise_error(F.lit("codes have 64 bits")).cast("long")).otherwise(F.coalesce(code, F.lit(0).cast("long")))
 
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
