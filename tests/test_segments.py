@@ -136,7 +136,7 @@ def test_a_series_with_half_of_all_rows_is_stored_and_joined_by_several_tasks(sp
     from panelstats.spec import PanelSpec
 
     spec = PanelSpec(grain="instant")
-    raw = spark.range(20_000).select(
+    raw = spark.range(200_000).select(
         F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("ticker"),
         F.timestamp_seconds("id").cast("timestamp_ntz").alias("date"),
         *[(100 + F.pmod(F.xxhash64("id", F.lit(c)), F.lit(10_007))).cast("double").alias(c) for c in spec.prices],
@@ -151,11 +151,11 @@ def test_a_series_with_half_of_all_rows_is_stored_and_joined_by_several_tasks(sp
         spark.conf.unset(size)
     for fact in ("fact_prices", "fact_rolling"):
         hot = star[fact].filter("ticker = 'hot'")
-        assert hot.select(F.input_file_name()).distinct().count() > 2 and hot.count() == 10_000
+        assert hot.select(F.input_file_name()).distinct().count() > 2 and hot.count() == 100_000
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         both = align_facts(star["fact_prices"], star["fact_rolling"], spec.grid, ["close"], ["drawdown"])
         tasks = both.filter("ticker = 'hot'").select(F.spark_partition_id()).distinct().count()
-        assert both.count() == 20_000 and tasks > 1
+        assert both.count() == 200_000 and tasks > 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
