@@ -153,9 +153,11 @@ def test_a_series_with_half_of_all_rows_is_stored_and_joined_by_several_tasks(sp
         hot = star[fact].filter("ticker = 'hot'")
         assert hot.select(F.input_file_name()).distinct().count() > 2 and hot.count() == 100_000
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         both = align_facts(star["fact_prices"], star["fact_rolling"], spec.grid, ["close"], ["drawdown"])
         tasks = both.filter("ticker = 'hot'").select(F.spark_partition_id()).distinct().count()
         assert both.count() == 200_000 and tasks > 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
