@@ -28,7 +28,7 @@ from panelstats.shared import stored
 
 from .text import WordHashes, batch, ngram_features, raw
 
-BITS = 18
+BITS = 17
 SMOOTHING = 1.0
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
