@@ -47,7 +47,7 @@ class Ftrl:
     l1: float = 50.0
     l2: float = 0.0
     passes: int = 12
-    positive: float = 0.5
+    positive: float = 1.0
 
 
 @dataclass
