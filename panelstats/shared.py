@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,3 +36,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of a stored table with a number of their own in column ``name``, the same in every scan.
+
+    The number has the rank of the row's file by its path, and the row's place in the file: how a scan is split
+    among executors doesn't matter.  Frames that don't come from files are written once with their numbers.
+    """
+    path, place = f"{name}_path", f"{name}_place"
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    rank = F.row_number().over(Window.orderBy(path)).cast("long")
+    files = rows.select(path).distinct().select(path, rank.alias(name))  # a row for each file, as the driver lists them
+    return rows.join(F.broadcast(files), path).select(*docs.columns, (F.shiftleft(name, 40) + F.col(place)).alias(name))
