@@ -1,15 +1,15 @@
-"""Substring deduplication by hashing the pieces of lines.
+"""Substring deduplication by hashing lines and the pieces of lines.
 
-Texts are normalised (white space, case of A-Z) and cut into units: at line ends, and inside lines after
-words whose hash is the least of its neighbourhood, so that a passage in the middle of a line is cut alike
+Texts are normalised (white space, case of A-Z).  Every line has a digest, and is cut into units after words
+whose hash is the least of its neighbourhood in the line, so that a passage in the middle of a line is cut alike
 wherever it stands.  Every two neighbouring units have one digest.  Digests are grouped over all documents;
 the occurrence in the document of least rank (id, then place in the table), there the first, stays.  Other
-occurrences are repeats, and where repeats cover ``min_words`` words on end, these words go.  A unit's
-first occurrence is never removed.  Spans refer to the original text, which is otherwise left as it is.
+occurrences are repeats: a repeated line goes however short it is, and where repeats of any kind cover
+``min_words`` words on end, these words go.  Spans refer to the original text, which is otherwise left as it is.
 
 Repeats within a lot of rows are found before anything is shuffled, so a digest that a third of all
-documents have is shuffled once per lot.  Digests have 64 bits; two that are equal by chance can't remove
-anything, since a removed run needs several.
+documents have is shuffled once per lot.  Digests have 64 bits; two of pieces that are equal by chance can't
+remove anything, since a removed run needs several.
 
 Defined results: null stays null and empty stays empty, without spans; repeated rows are documents of
 their own, of which the first keeps its text; null ids rank last; a document that is one repeat keeps an
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ LOT = 1_000_000
 ROW = "_llm_row"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
+#: Seed of the digests of lines.
+_LINE = 9
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -75,13 +78,18 @@ def unit_ends(hashes: np.ndarray, line_ends: np.ndarray) -> np.ndarray:
 
 
 def units_of(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and digest of every two neighbouring units (or of the only one)."""
+    """First word, number of words and digest of every two neighbouring units (or of the only one), then of every line.
+
+    Of lines the number of words is negative.
+    """
     words = lower_words(text)
     if not words:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
     h = hashes.of(words)
     lines = np.fromiter((len(line.split()) for line in raw(text).split(b"\n")), np.int64)
-    ends = unit_ends(h, np.unique(np.cumsum(lines[lines > 0])))
+    lines = lines[lines > 0]
+    line_ends = np.cumsum(lines)
+    ends = unit_ends(h, line_ends)
     power, inverse = _base_powers(len(h) + 1)
     sums = np.r_[np.uint64(0), np.cumsum(h * power[: len(h)])]
     begins = np.r_[0, ends[:-1]]
@@ -90,7 +98,10 @@ def units_of(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     digest = (sums[last] - sums[first]) * inverse[first]
     digest ^= digest >> np.uint64(31)
     digest *= np.uint64(0xBF58476D1CE4E5B9)
-    return first, last - first, digest + (last - first).astype(np.uint64)
+    line_begins = line_ends - lines
+    whole = (xxhash.xxh3_64_intdigest(b" ".join(words[a:b]), _LINE) for a, b in zip(line_begins.tolist(), line_ends.tolist(), strict=True))
+    whole = np.fromiter(whole, np.uint64, len(lines))
+    return np.r_[first, line_begins], np.r_[last - first, -lines], np.r_[digest + (last - first).astype(np.uint64), whole]
 
 
 def find_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,13 +161,23 @@ def repeats(units: DataFrame) -> DataFrame:
 
 
 def removed_runs(n_words: int, first: np.ndarray, n: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Runs of words (begin, end) that the spans cover, of ``min_words`` at least."""
-    step = np.zeros(n_words + 1, np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, first + n, -1)
-    covered = np.r_[False, np.cumsum(step[:-1]) > 0, False]
-    edges = np.flatnonzero(covered[1:] != covered[:-1])
-    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= min_words]
+    """Runs of words (begin, end) that the spans cover: of ``min_words`` at least, and those of whole lines (negative n)."""
+
+    def covered(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        step = np.zeros(n_words + 1, np.int64)
+        np.add.at(step, first, 1)
+        np.add.at(step, first + n, -1)
+        return np.r_[False, np.cumsum(step[:-1]) > 0, False]
+
+    def runs(of: np.ndarray) -> Iterator[tuple[int, int]]:
+        edges = np.flatnonzero(of[1:] != of[:-1])
+        return zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
+
+    gone = covered(first[n < 0], -n[n < 0])
+    for a, b in runs(covered(first, np.abs(n))):
+        if b - a >= min_words:
+            gone[a + 1 : b + 1] = True
+    return list(runs(gone))
 
 
 def without(text: str, spans: list[dict[str, int]], min_words: int) -> tuple[str, list[tuple[int, int]], int]:

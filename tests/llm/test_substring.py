@@ -91,3 +91,45 @@ def test_units_cover_all_words(values, at):
     h = np.array(values, np.uint64)
     ends = substring.unit_ends(h, np.array(sorted({min(at + 1, len(h)), len(h)})))
     assert ends[-1] == len(h) and (np.diff(ends, prepend=0) > 0).all() and np.diff(ends, prepend=0).max() <= substring.MOST_WORDS
+
+
+def plain_lines(rows):
+    """Ids to texts without all but the first occurrence of each line, lines compared by their words."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        kept = []
+        for line in text.split("\n"):
+            key = tuple(line.lower().split())
+            if not key or key not in seen:
+                kept.append(line.split())
+            seen.add(key)
+        out[i] = [line for line in kept if line]
+    return out
+
+
+def repeated_lines(lengths, seed):
+    """Documents that share lines of given lengths between lines of their own; ids to texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared = [line(n) for n in lengths]
+    rows = []
+    for i in range(6):
+        some = rng.sample(shared, len(shared))
+        rows.append((i, "\n".join(x for s in some for x in (line(rng.randint(5, 25)), s.upper() if i % 2 else f"  {s} "))))
+    return rows
+
+
+def test_repeated_lines_go_as_wholes(spark, written):
+    """Lines of 30 words and more, their rims included, whatever lines are around them."""
+    rows = repeated_lines(range(30, 61), 3)
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [x.split() for x in r.text.split("\n") if x.split()] for r in substring.deduplicate(docs).collect()}
+    assert got == plain_lines(rows)
+
+
+def test_repeated_lines_go_however_short(spark, written):
+    rows = repeated_lines([*range(1, 30)] * 2, 5) + [(10, "some\n\n \nSOME\nmore of some\nmore\nmore  of some"), (11, "more of some more")]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [x.split() for x in r.text.split("\n") if x.split()] for r in substring.deduplicate(docs).collect()}
+    assert got == plain_lines(rows)
