@@ -57,13 +57,16 @@ def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit_ends(hashes: np.ndarray, line_ends: np.ndarray) -> np.ndarray:
-    """Ends of the units, as numbers of words; ``line_ends`` are some of them."""
+    """Ends of the units, as numbers of words; ``line_ends`` are some of them, and neighbourhoods end there too."""
     n = len(hashes)
-    around = np.full(n + 2 * REACH, np.uint64(0xFFFFFFFFFFFFFFFF))
-    around[REACH : REACH + n] = hashes
+    line = np.zeros(n, np.int64)
+    line[line_ends[line_ends < n]] = 1
+    line = np.cumsum(line)
     least = np.ones(n, bool)
-    for k in range(1, REACH + 1):
-        least &= (hashes < around[REACH - k : REACH - k + n]) & (hashes <= around[REACH + k : REACH + k + n])
+    for k in range(1, min(REACH, n - 1) + 1):
+        apart = line[k:] != line[:-k]
+        least[k:] &= (hashes[k:] < hashes[:-k]) | apart
+        least[:-k] &= (hashes[:-k] <= hashes[k:]) | apart
     least[line_ends - 1] = True
     least[-1] = True
     ends = np.flatnonzero(least) + 1

@@ -128,6 +128,15 @@ def test_repeated_lines_go_as_wholes(spark, written):
     assert got == plain_lines(rows)
 
 
+def test_neighbourhoods_end_with_the_line():
+    rng = random.Random(4)
+    h = np.array([rng.randrange(2**63) for _ in range(3000)], np.uint64)
+    ends = np.cumsum([rng.randint(1, 40) for _ in range(70)])
+    whole = substring.unit_ends(h[: ends[-1]], ends)
+    alone = [a + substring.unit_ends(h[a:b], np.array([b - a])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert whole.tolist() == np.concatenate(alone).tolist()
+
+
 def test_repeated_lines_go_however_short(spark, written):
     rows = repeated_lines([*range(1, 30)] * 2, 5) + [(10, "some\n\n \nSOME\nmore of some\nmore\nmore  of some"), (11, "more of some more")]
     docs = written(spark.createDataFrame(rows, "doc_id long, text string"))
