@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelstats.shared import stored
+from panelstats.shared import numbered, stored
 
 from .components import components
 from .text import batch, lower_words
@@ -241,7 +241,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The first has the least id (null ids last); of rows with equal ids, the one that comes first in the table.
     """
     row = "_llm_row"
-    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    placed = numbered(docs, row)
     rank = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     ranked = placed.select(rank.alias("rank"), F.col(text_col).alias("text"))
     prints = stored(fingerprints(ranked, "rank", "text", shingle), "simhash-prints")

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelstats.shared import numbered
+
 from .text import WordHashes, batch, lower_words, raw
 
 MIN_WORDS = 30
@@ -107,8 +109,8 @@ def units_of(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     return np.r_[first, line_begins], np.r_[last - first, -lines], np.r_[digest + (last - first).astype(np.uint64), whole]
 
 
-def find_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Units by row: row, doc_id, first, n, digest, known.
+def find_units(placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Units by row of a table with row numbers (ROW): row, doc_id, first, n, digest, known.
 
     ``known`` marks repeats that are certain inside a lot of rows: another one of the lot has a lesser rank.
     """
@@ -147,7 +149,7 @@ def find_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if parts:
             yield lot(parts)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = placed.select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, "row long, doc_id long, first int, n int, digest long, known boolean")
 
 
@@ -201,8 +203,9 @@ def without(text: str, spans: list[dict[str, int]], min_words: int) -> tuple[str
 
 def deduplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with their text cut; added: _llm_removed (offsets) and _llm_gone (words)."""
-    found = repeats(find_units(docs, id_col, text_col))
-    joined = docs.withColumn(ROW, F.monotonically_increasing_id()).join(found.select(F.col("row").alias(ROW), F.col("spans").alias("_llm_spans")), ROW, "left").drop(ROW)
+    placed = numbered(docs, ROW)
+    found = repeats(find_units(placed, id_col, text_col))
+    joined = placed.join(found.select(F.col("row").alias(ROW), F.col("spans").alias("_llm_spans")), ROW, "left").drop(ROW)
     names = docs.columns
     place = names.index(text_col)
     offsets = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
