@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, html, lm, mixing, packing, quality, simhash, substring, toxicity, warc
+from . import hamming, html, lm, mixing, negatives, packing, quality, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +81,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(*first, "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors."""
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=negatives.contract_label())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_toxicity, op3_warc, op4_lm_scoring, op5_exact_topk, op6_simhash, op7_mixing, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)
+    for f in (
+        op1_html_extraction,
+        op2_toxicity,
+        op3_warc,
+        op4_lm_scoring,
+        op5_exact_topk,
+        op6_simhash,
+        op7_mixing,
+        op8_best_fit_packing,
+        op9_substring_dedup,
+        op10_quality_rules,
+        op11_hard_negatives,
+    )
 }
 
-ORACLES: dict[str, str] = {"op5_exact_topk": hamming.nearest_sql(), "op7_mixing": mixing.mix_sql()}
+ORACLES: dict[str, str] = {
+    "op5_exact_topk": hamming.nearest_sql(),
+    "op7_mixing": mixing.mix_sql(),
+    "op11_hard_negatives": negatives.negatives_sql(),
+}
