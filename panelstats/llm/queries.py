@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, html, lm, mixing, negatives, packing, quality, simhash, substring, toxicity, warc
+from . import hamming, html, lm, mixing, negatives, packing, quality, repeats, search, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,19 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=negatives.contract_label())
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of repeated 100-byte strings."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, run: n + run["end"] - run["begin"])
+    runs = F.size("removed").cast("long")
+    return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), runs.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_quality_rules,
         op11_hard_negatives,
+        op12_suffix_dedup,
+        op13_ranked_search,
     )
 }
 
@@ -107,4 +122,6 @@ ORACLES: dict[str, str] = {
     "op5_exact_topk": hamming.nearest_sql(),
     "op7_mixing": mixing.mix_sql(),
     "op11_hard_negatives": negatives.negatives_sql(),
+    "op12_suffix_dedup": repeats.repeats_sql(),
+    "op13_ranked_search": search.search_sql(),
 }
