@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or where it is unset a folder beside the session's warehouse.
 
-    Both are given by the session, so on a cluster neither is a machine's own disk.
+    On a cluster name one of them in the session: a warehouse that isn't configured either is a folder of the
+    driver's machine, which executors don't share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -38,17 +39,34 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Steps of a plan that neither multiply rows nor move them.
+_PLAIN = {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a frame's rows are rows of files, each of one."""
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        step = todo.pop()
+        if step.nodeName() not in _PLAIN:
+            return False
+        todo += [step.children().apply(i) for i in range(step.children().size())]
+    return True
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows of a stored table with a number of their own in column ``name``, the same in every scan.
 
     The number has the rank of the row's file by its path, and the row's place in the file: how a scan is split
-    among executors doesn't matter.  Frames that don't come from files are written once with their numbers.
+    among executors doesn't matter.  Frames that are more than a scan are written once with their numbers.
     """
     path, place = f"{name}_path", f"{name}_place"
+    if not _is_scan(docs):
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     try:
         rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
-    except AnalysisException:
+    except AnalysisException:  # files of a kind that doesn't number its rows
         return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     rank = F.row_number().over(Window.orderBy(path)).cast("long")
     files = rows.select(path).distinct().select(path, rank.alias(name))  # a row for each file, as the driver lists them
-    return rows.join(F.broadcast(files), path).select(*docs.columns, (F.shiftleft(name, 40) + F.col(place)).alias(name))
+    return rows.join(files, path).select(*docs.columns, (F.shiftleft(name, 40) + F.col(place)).alias(name))
