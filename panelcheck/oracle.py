@@ -182,6 +182,16 @@ _step(
       from staging group by ticker) s on a.ticker = s.ticker
     """,
 )
+# One exchange delivers its histories again, cut short: their bars before 1999 replace all they had.
+_step(
+    "new_raw",
+    ("raw", "attrs"),
+    """
+    select raw.* from raw join attrs using (ticker) where exchange <> 'LSE' or date < date '1999-01-01'
+    """,
+)
+_panel_steps("new_")
+_step("new_dim", ("attrs", "new_staging"), STEPS["dim"][1].replace("staging", "new_staging"))
 
 
 def r(expr: str, digits: int, name: str | None = None) -> str:

@@ -8,20 +8,25 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.metrics import StageObserver
-from ..sources.panel import read_zone
+from ..sources.panel import read_panel, read_zone
 from ..sources.sinks import (
+    BUCKET,
+    bucket_of,
     claim_buckets,
     exists,
     register_bucketed,
     register_views,
+    replace_buckets,
+    replace_keys,
     stored_buckets,
     write_dim,
     write_fact,
 )
 from ..spec import PanelSpec
-from . import views
+from . import summaries, views
 from .staging import build_staging, daily_only
 from .star import anomaly_fact, build_dim, price_fact, rolling_fact
 
@@ -39,6 +44,10 @@ class Warehouse:
     shuffle partitions of the session) is stored under the root and holds for all its tables and all later
     sessions.  ``open`` registers stored zones with a new catalog.  Series must have a bounded length;
     ``operators.segments`` stores others.
+
+    With ``layout="hashed"`` every bucket is a directory of each zone, and a bucket of a zone depends on the same
+    bucket of the zone before it only.  ``refresh`` takes a delivery through all zones: it reads and rewrites the
+    buckets that receive a key, in raw, staging, dimension, facts and summaries, and no others.
     """
 
     spark: SparkSession
@@ -71,11 +80,11 @@ class Warehouse:
         for zone in ZONES:
             if not exists(self.spark, self.path(zone)):
                 continue
-            if self.layout == "bucket":
+            if self.layout in ("bucket", "hashed"):
                 order = [self.spec.key] if zone == "dim_etf" else self.spec.grid
                 found[zone] = register_bucketed(
-                    self.spark, self.path(zone), self.table(zone), self.spec.key, order, self.bucket_count()
-                )
+                    self.spark, self.path(zone), self.table(zone), self.spec.key, order, self.bucket_count(), self.layout == "hashed"
+                ).drop(BUCKET)
             else:
                 found[zone] = read_zone(self.spark, self.path(zone))
         return found
@@ -92,10 +101,10 @@ class Warehouse:
         }
 
     def write_dim(self, staging: DataFrame, attrs: DataFrame) -> DataFrame:
-        table = self.table("dim_etf") if self.layout == "bucket" else None
+        table = self.table("dim_etf") if self.layout in ("bucket", "hashed") else None
         dim = build_dim(attrs, staging, self.spec)
         buckets = self.bucket_count() if table else None
-        return write_dim(dim, self.path("dim_etf"), self.spec.key, table, buckets)
+        return write_dim(dim, self.path("dim_etf"), self.spec.key, table, buckets, self.layout == "hashed").drop(BUCKET)
 
     def write_prices(self, staging: DataFrame) -> DataFrame:
         return self._fact(price_fact(staging, self.spec), "fact_prices")
@@ -107,19 +116,62 @@ class Warehouse:
         """The few rows left by the filter are gathered by key, not written as one sliver per task."""
         return self._fact(anomaly_fact(staging, self.spec), "fact_anomalies", clustered=False)
 
+    def write_summaries(self, star: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The partial results that views and reports are merged from (see ``summaries``)."""
+        n = self.bucket_count()
+        for name, made in summaries.partials(star, self.spec, n).items():
+            summaries.store(made, self.path(name), n)
+        return self.summaries()
+
+    def summaries(self) -> dict[str, DataFrame]:
+        return {name: read_zone(self.spark, self.path(name)) for name in summaries.SUMMARIES}
+
+    def refresh(self, arrivals: DataFrame, raw: str, attrs: DataFrame) -> list[int]:
+        """Replace the histories of the arriving keys in the raw zone at ``raw`` and in every zone made from it.
+
+        Returns the buckets that were touched.  A refresh that fails half-way is mended by running it again: zones
+        are rewritten in order, and none depends on what it had in these buckets.
+        """
+        if self.layout != "hashed":
+            raise ValueError("a refresh needs zones with a directory for each bucket")
+        spec, n = self.spec, self.bucket_count()
+        touched = replace_keys(arrivals, raw, spec, n)
+        if not touched:
+            return touched
+        delivered = read_panel(self.spark, raw, spec).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        self._replace(build_staging(delivered, spec), "staging", touched)
+        staging = self.part("staging", touched)
+        self._replace(build_dim(attrs.filter(bucket_of(spec.key, n).isin(touched)), staging, spec), "dim_etf", touched)
+        self._replace(price_fact(staging, spec), "fact_prices", touched)
+        self._replace(rolling_fact(staging, spec), "fact_rolling", touched)
+        self._replace(anomaly_fact(staging, spec), "fact_anomalies", touched)
+        if exists(self.spark, self.path(summaries.SUMMARIES[0])):
+            star = {zone: self.part(zone, touched) for zone in TABLES}
+            for name, made in summaries.partials(star, spec, n).items():
+                summaries.store(made, self.path(name), n, touched)
+        return touched
+
+    def part(self, zone: str, buckets: list[int]) -> DataFrame:
+        """Some buckets of a hashed zone; the scan is limited to their directories."""
+        return self.spark.table(self.table(zone)).filter(F.col(BUCKET).isin(buckets)).drop(BUCKET)
+
+    def _replace(self, df: DataFrame, zone: str, touched: list[int]) -> None:
+        replace_buckets(df, self.path(zone), self.table(zone), self.spec.key, self.bucket_count(), touched)
+
     def _fact(self, df: DataFrame, zone: str, clustered: bool = True) -> DataFrame:
         """The full facts come out of a key window or a bucketed table, so they are clustered already."""
-        buckets = self.bucket_count() if self.layout == "bucket" else None
+        bucketed = self.layout in ("bucket", "hashed")
+        buckets = self.bucket_count() if bucketed else None
         ends = int(self.spark.conf.get("spark.sql.shuffle.partitions")) == buckets
         return write_fact(
             df,
             self.path(zone),
             self.spec,
             layout=self.layout,
-            table=self.table(zone) if self.layout == "bucket" else None,
+            table=self.table(zone) if bucketed else None,
             buckets=buckets,
             clustered=clustered and ends,
-        )
+        ).drop(BUCKET)
 
 
 def star_views(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import DAY, PanelSpec
+from .schema import stored_schema
 
 # Columns of the published dimension.
 DIM_COLUMNS = ("ticker", "etf_name", "provider", "category", "index_tracked", "currency", "exchange")
@@ -24,7 +25,8 @@ def read_panel(
 ) -> DataFrame:
     """Read a Parquet tree laid out as ``<path>/<key>=<value>/``.
 
-    Without ``schema`` the footers are merged, which touches every file; give one for large trees.
+    Without ``schema`` the one stored with the tree is used; where there is none the footers are merged, which
+    touches every file.
     The key is always read as text, so ``007`` and ``1e5`` survive the directory name.  ``rebase``
     applies to legacy INT96 and pre-Gregorian dates.
     """
@@ -36,6 +38,7 @@ def read_panel(
             .option("int96RebaseMode", rebase)
         )
 
+    schema = schema or stored_schema(spark, path)
     if schema is None:
         schema = reader().option("mergeSchema", True).parquet(path).schema
     text_key = T.StructType(
@@ -45,8 +48,9 @@ def read_panel(
 
 
 def read_zone(spark: SparkSession, path: str) -> DataFrame:
-    """Read a zone back; partition directories are discovered."""
-    return spark.read.parquet(path)
+    """Read a zone back by its stored schema, or that of a footer; partition directories are discovered."""
+    schema = stored_schema(spark, path)
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
 def dim_from_rows(

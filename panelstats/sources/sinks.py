@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import stored
 from ..spec import PanelSpec
+from .schema import place, shaped, store_schema, stored_schema, widened
 
 BUCKET = "key_bucket"
 #: Begin of the name of the empty file that states a bucket count.
 COUNT = "_buckets-"
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    """The bucket of a key: the one Spark's own bucketed tables put it into."""
+    return F.pmod(F.hash(key), F.lit(buckets)).cast("int")
+
+
 def write_fact(
     df: DataFrame,
     path: str,
@@ -34,17 +41,21 @@ def write_fact(
     right for any number of keys.  Windows, groupings and joins on the key then need no exchange.
     ``clustered=True`` states that the plan already ends partitioned by key into as many partitions
     as there are buckets (any key window does), which saves the exchange before the write.
+
+    ``layout="hashed"`` is the same with a directory for each bucket, so that ``replace_buckets`` can rewrite
+    some of them; the table has the bucket as its last column.
     """
     spark = df.sparkSession
     if layout == "key":
         placed = df.hint("rebalance", spec.key).sortWithinPartitions(spec.key, spec.ts)
         placed.write.mode("overwrite").partitionBy(spec.key).parquet(path)
+        store_schema(spark, path, df.schema)
         return spark.read.schema(df.schema).option("basePath", path).parquet(path)
-    if layout != "bucket":
+    if layout not in ("bucket", "hashed"):
         raise ValueError(f"unknown layout {layout!r}")
     if table is None:
         raise ValueError("a bucketed fact needs a table name")
-    return _write_bucketed(df, path, table, spec.key, [spec.key, spec.ts], buckets, clustered)
+    return _write_bucketed(df, path, table, spec.key, [spec.key, spec.ts], buckets, clustered, layout == "hashed")
 
 
 def write_dim(
@@ -53,16 +64,18 @@ def write_dim(
     key: str | None = None,
     table: str | None = None,
     buckets: int | None = None,
+    hashed: bool = False,
 ) -> DataFrame:
     """Overwrite a dimension without partition directories.
 
     With ``table`` it is bucketed by ``key`` like the facts, so that a dimension too large to
-    broadcast still joins them without an exchange.
+    broadcast still joins them without an exchange; ``hashed`` gives each bucket a directory.
     """
     if table is not None:
-        return _write_bucketed(df, path, table, key, [key], buckets, clustered=False)
+        return _write_bucketed(df, path, table, key, [key], buckets, clustered=False, hashed=hashed)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    store_schema(df.sparkSession, path, df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -72,31 +85,33 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def replace_keys(
     df: DataFrame, path: str, spec: PanelSpec = PanelSpec(), buckets: int | None = None
-) -> None:
+) -> list[int]:
     """Replace the whole history of every arriving key; other keys keep their data.
 
     Without ``buckets`` each key is a directory and only the arriving directories are overwritten.
     With ``buckets`` keys share hashed directories: those that receive a key, and only those, are read
-    and rewritten with their other keys carried over.  The first call stores the count with the zone,
-    and another count is refused.  Columns that only one side has are kept, NULL on the other; a column
-    that changes its type is refused.  The arrivals are evaluated once.
+    and rewritten with their other keys carried over; returns their numbers.  The first call stores the count with
+    the zone, and another count is refused.  The zone's schema is stored with it: columns that only one side has
+    are kept, NULL on the other, numbers may become wider, and another change of a type is refused.  The arrivals
+    are evaluated once.
     """
     spark = df.sparkSession
+    schema, touched = widened(_zone_schema(spark, path), df.schema), []
     if buckets is None:
-        out, by = df, spec.key
+        out, by = shaped(df, schema), spec.key
     else:
         by = BUCKET
         claim_buckets(spark, path, buckets)
-        number = F.pmod(F.xxhash64(spec.key), F.lit(buckets)).cast("int")
-        out = arrivals = stored(df.withColumn(BUCKET, number), "arrivals")
-        touched = [r[0] for r in arrivals.select(BUCKET).distinct().collect()]  # at most ``buckets``
-        folders = [f for b in sorted(touched) if exists(spark, f := f"{path}/{BUCKET}={b}")]
+        arrivals = stored(shaped(df, schema).withColumn(BUCKET, bucket_of(spec.key, buckets)), "arrivals")
+        touched = sorted(r[0] for r in arrivals.select(BUCKET).distinct().collect())  # at most ``buckets``
+        out, folders = arrivals, [f for b in touched if exists(spark, f := f"{path}/{BUCKET}={b}")]
         if folders:
-            before = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders)
-            _same_types(arrivals, before)
+            before = spark.read.schema(arrivals.schema).option("basePath", path).parquet(*folders)
             keys = arrivals.select(F.col(spec.key).alias("_arriving")).distinct()
             kept = before.join(keys, F.col(spec.key).eqNullSafe(F.col("_arriving")), "left_anti")
-            out = arrivals.unionByName(kept, allowMissingColumns=True)
+            out = arrivals.unionByName(kept)
+    if schema != stored_schema(spark, path):
+        store_schema(spark, path, schema)
     (
         out.hint("rebalance", by)
         .sortWithinPartitions(by, spec.key, spec.ts)
@@ -105,6 +120,54 @@ def replace_keys(
         .partitionBy(by)
         .parquet(path)
     )
+    return touched
+
+
+def _zone_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The stored schema of a zone; that of its footers where a zone was written without one."""
+    known = stored_schema(spark, path)
+    files, written = place(spark, f"{path}/*=*/*.parquet")
+    if known is None and len(files.globStatus(written) or []):
+        found = spark.read.option("mergeSchema", True).parquet(path).schema
+        known = T.StructType([f for f in found.fields if f.name != BUCKET])
+    return known
+
+
+def replace_buckets(df: DataFrame, path: str, table: str, key: str, buckets: int, touched: list[int]) -> None:
+    """Rewrite some buckets of a hashed table; those of them that ``df`` has no row of become empty.
+
+    ``df`` has the table's columns but the bucket.  Other directories are neither read nor written.
+    """
+    spark = df.sparkSession
+    columns = spark.table(table).columns
+    placed = df.repartition(buckets, key).withColumn(BUCKET, bucket_of(key, buckets)).select(*columns)
+    before = bucket_files(spark, path, touched)
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    own = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        placed.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, own)
+    drop_left_over(spark, path, before)
+    spark.catalog.refreshTable(table)
+
+
+def bucket_files(spark: SparkSession, path: str, buckets: list[int]) -> dict[int, set[str]]:
+    """Names of the files in some directories of buckets."""
+    found = {}
+    for b in buckets:
+        files, at = place(spark, f"{path}/{BUCKET}={b}")
+        found[b] = {f.getPath().getName() for f in files.listStatus(at)} if files.exists(at) else set()
+    return found
+
+
+def drop_left_over(spark: SparkSession, path: str, before: dict[int, set[str]]) -> None:
+    """Remove files that were there before a write of their buckets and still are: the bucket has no rows any more."""
+    for b, now in bucket_files(spark, path, list(before)).items():
+        for name in before[b] & now:
+            files, at = place(spark, f"{path}/{BUCKET}={b}/{name}")
+            files.delete(at, False)
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:
@@ -120,48 +183,44 @@ def _write_bucketed(
     order: list[str],
     buckets: int | None,
     clustered: bool,
+    hashed: bool = False,
 ) -> DataFrame:
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df if clustered else df.repartition(n, key)
-    (
-        placed.write.mode("overwrite")
-        .option("path", path)
-        .bucketBy(n, key)
-        .sortBy(*order)
-        .saveAsTable(table)
-    )
+    writer = placed.withColumn(BUCKET, bucket_of(key, n)).write.partitionBy(BUCKET) if hashed else placed.write
+    writer.mode("overwrite").option("path", path).bucketBy(n, key).sortBy(*order).saveAsTable(table)
+    store_schema(spark, path, spark.table(table).schema)
     return spark.table(table)
 
 
 def register_bucketed(
-    spark: SparkSession, path: str, table: str, key: str, order: list[str], buckets: int
+    spark: SparkSession, path: str, table: str, key: str, order: list[str], buckets: int, hashed: bool = False
 ) -> DataFrame:
     """A stored bucketed zone as a table of this session's catalog, if it isn't one yet."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    schema = stored_schema(spark, path) or spark.read.parquet(path).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     by = ", ".join(f"`{c}`" for c in order)
+    parts = f"partitioned by (`{BUCKET}`) " if hashed else ""
+    known = spark.catalog.tableExists(table)
     spark.sql(
-        f"create table if not exists {table} ({columns}) using parquet "
+        f"create table if not exists {table} ({columns}) using parquet {parts}"
         f"clustered by (`{key}`) sorted by ({by}) into {buckets} buckets location '{path}'"
     )
+    if hashed and not known:
+        spark.sql(f"alter table {table} recover partitions")
     return spark.table(table)
 
 
-def _place(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it names it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    files, place = _place(spark, path)
-    return files.exists(place)
+    files, at = place(spark, path)
+    return files.exists(at)
 
 
 def stored_buckets(spark: SparkSession, path: str) -> int | None:
     """The bucket count stored with a zone or warehouse, if there is one."""
-    files, place = _place(spark, f"{path}/{COUNT}*")
-    found = files.globStatus(place) or []
+    files, at = place(spark, f"{path}/{COUNT}*")
+    found = files.globStatus(at) or []
     return int(found[0].getPath().getName().removeprefix(COUNT)) if len(found) else None
 
 
@@ -169,14 +228,8 @@ def claim_buckets(spark: SparkSession, path: str, buckets: int) -> None:
     """Store the bucket count with a zone, or refuse another one than is stored."""
     known = stored_buckets(spark, path)
     if known is None:
-        files, place = _place(spark, f"{path}/{COUNT}{buckets}")
-        files.createNewFile(place)
+        files, at = place(spark, f"{path}/{COUNT}{buckets}")
+        files.createNewFile(at)
     elif known != buckets:
         raise ValueError(f"{path} has {known} buckets, not {buckets}")
 
-
-def _same_types(arriving: DataFrame, before: DataFrame) -> None:
-    kinds = dict(before.dtypes)
-    differ = [c for c, t in arriving.dtypes if kinds.get(c, t) != t]
-    if differ:
-        raise ValueError(f"stored columns have other types: {', '.join(differ)}")
