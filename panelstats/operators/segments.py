@@ -66,33 +66,42 @@ def split(
     return _store(cut, spec, path)
 
 
-def fill_and_index(panel: SegmentedPanel, path: str) -> SegmentedPanel:
-    """Forward fill, drop of unfillable rows, return and rebased price; stored under ``path``."""
+def fill_and_index(panel: SegmentedPanel, path: str, seeds: DataFrame | None = None) -> SegmentedPanel:
+    """Forward fill, drop of unfillable rows, return and rebased price; stored under ``path``.
+
+    ``seeds`` has, per key and segment, what the series had before this panel: its first price (``_seed_start``) and
+    the last value of each measure (``_seed_<measure>``).
+    """
     spec, part = panel.spec, panel.part
+    wanted = [f"_seed_{c}" for c in (*spec.measures, "start")]
     carried = _carry(
         panel,
         {c: (last_by(c, spec.ts), lambda v: F.last(v, ignorenulls=True)) for c in spec.measures}
         | {"start": (first_by(spec.close, spec.ts), lambda v: F.first(v, ignorenulls=True))},
     )
     running = so_far(part, spec.ts)
-    filled = panel.rows.join(F.broadcast(carried), part, "left").withColumns(
+    if seeds is None:
+        rows = panel.rows.withColumns({c: F.lit(None).cast("double") for c in wanted})
+    else:
+        rows = panel.rows.join(seeds.select(*part, *wanted), part, "left")
+    filled = rows.join(F.broadcast(carried), part, "left").withColumns(
         {
-            c: F.coalesce(F.last(c, ignorenulls=True).over(running), f"_carried_{c}")
+            c: F.coalesce(F.last(c, ignorenulls=True).over(running), f"_carried_{c}", F.col(f"_seed_{c}").cast(rows.schema[c].dataType))
             for c in spec.measures
         }
     )
     kept = drop_unfilled(filled, spec.close)
     before = F.coalesce(
-        F.lag(spec.close).over(in_order(part, spec.ts)), f"_carried_{spec.close}"
+        F.lag(spec.close).over(in_order(part, spec.ts)), f"_carried_{spec.close}", f"_seed_{spec.close}"
     )
-    start = F.coalesce("_carried_start", F.first(spec.close, ignorenulls=True).over(running))
+    start = F.coalesce("_seed_start", "_carried_start", F.first(spec.close, ignorenulls=True).over(running))
     indexed = kept.withColumns(
         {
             "daily_return": change(spec.close, before),
             "close_norm": ratio(spec.close, start) * spec.base,
         }
     )
-    return _store(indexed.drop(*[c for c in indexed.columns if c.startswith("_carried_")]), spec, path)
+    return _store(indexed.drop(*wanted, *[c for c in indexed.columns if c.startswith("_carried_")]), spec, path)
 
 
 def segmented_zscores(panel: SegmentedPanel, wanted: dict[str, str]) -> SegmentedPanel:
@@ -143,14 +152,30 @@ def segmented_staging(
     return SegmentedPanel(raw.sparkSession.read.parquet(staging), scored.spans, spec)
 
 
-def segmented_rolling(panel: SegmentedPanel, keep_segment: bool = False) -> DataFrame:
-    """``rolling_fact`` for series of any length, from rows with a return and a rebased price."""
+def reach_of(spec: PanelSpec) -> int:
+    """Rows before a row that its frames reach back to."""
+    return max(*spec.sma_frames, spec.vol_frame) - 1
+
+
+def segmented_rolling(
+    panel: SegmentedPanel, keep_segment: bool = False, seeds: DataFrame | None = None, tails: DataFrame | None = None
+) -> DataFrame:
+    """``rolling_fact`` for series of any length, from rows with a return and a rebased price.
+
+    Of series that began before this panel, ``seeds`` has their peak (``_seed_peak``) per key and segment, and
+    ``tails`` their last rows for each segment that frames reach out of.
+    """
     spec, part, ts, price = panel.spec, panel.part, panel.spec.ts, panel.spec.close
     peaks = _carry(panel, {"peak": (F.max(price), F.max)})
-    reach = max(*spec.sma_frames, spec.vol_frame) - 1
-    df = with_halo(panel, reach, [price, "daily_return", "close_norm"])
+    measures = [price, "daily_return", "close_norm"]
+    df = with_halo(panel, reach_of(spec), measures)
+    if tails is not None:
+        df = df.unionByName(tails.select(*spec.grid, *measures, SEGMENT, F.lit(True).alias(HALO)))
     df = df.join(F.broadcast(peaks), part, "left")
-    peak = F.greatest(F.max(price).over(so_far(part, ts)), F.col("_carried_peak"))
+    seed = F.lit(None).cast("double")
+    if seeds is not None:
+        df, seed = df.join(seeds.select(*part, "_seed_peak"), part, "left"), F.col("_seed_peak")
+    peak = F.greatest(F.max(price).over(so_far(part, ts)), F.col("_carried_peak"), seed)
     df = df.withColumn("_peak", peak)
     for rows in spec.sma_frames:
         df = moving_avg(df, part, ts, price, rows)
@@ -160,7 +185,7 @@ def segmented_rolling(panel: SegmentedPanel, keep_segment: bool = False) -> Data
     return (
         df.withColumn("drawdown", change(price, "_peak"))
         .filter(~F.col(HALO))
-        .drop(price, HALO, "_peak", "_carried_peak", *([] if keep_segment else [SEGMENT]))
+        .drop(price, HALO, "_peak", "_carried_peak", "_seed_peak", *([] if keep_segment else [SEGMENT]))
     )
 
 
