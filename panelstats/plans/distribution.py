@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..shared import stored
 from ..spec import PanelSpec
 
 
@@ -23,19 +28,19 @@ def normality(returns: DataFrame, spec: PanelSpec = PanelSpec(), ret: str = "dai
 
 
 def return_correlation(
-    returns: DataFrame, pairs: DataFrame, spec: PanelSpec = PanelSpec(), ret: str = "daily_return"
+    returns: DataFrame, pairs: DataFrame, spec: PanelSpec = PanelSpec(), ret: str = "daily_return", slices: int = SLICES
 ) -> DataFrame:
     """Correlation of the returns of each given pair (``key_a``, ``key_b``) over their common days.
 
     The pairs are the caller's: all pairs of a panel grow with the square of its series, chosen ones
     cost their number times the length of a series.  A series that is in very many pairs is dealt by
-    day, on either side: by slices of its days on the left, by the days themselves on the right.
+    day, on either side: by ``slices`` of its days on the left, by the days themselves on the right.
     """
     series = returns.select(*spec.grid, ret).filter(F.col(ret).isNotNull())
     first = series.select(F.col(spec.key).alias("key_a"), spec.ts, F.col(ret).alias("_a"))
     second = series.select(F.col(spec.key).alias("key_b"), spec.ts, F.col(ret).alias("_b"))
-    slice_of = F.pmod(F.hash(spec.ts), F.lit(SLICES))
-    sliced = pairs.select("key_a", "key_b", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("_slice"))
+    slice_of = F.pmod(F.hash(spec.ts), F.lit(slices))
+    sliced = pairs.select("key_a", "key_b", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
     first = first.withColumn("_slice", slice_of).repartition("key_a", "_slice")
     left = sliced.repartition("key_a", "_slice").join(first, ["key_a", "_slice"]).drop("_slice")
     common = left.repartition("key_b", spec.ts).join(second.repartition("key_b", spec.ts), ["key_b", spec.ts])
@@ -48,3 +53,90 @@ def return_correlation(
     return per_pair.select(
         "key_a", "key_b", "days", ratio("_cov", F.col("_da") * F.col("_db")).alias("correlation")
     )
+
+
+# All strongly correlated pairs
+
+
+def bands_needed(threshold: float, overlap: float, bits: int, recall: float) -> int:
+    """Bands of ``bits`` signs so that a pair at the threshold shares one with a probability of ``recall``.
+
+    Of two series whose values on their common days correlate by ``threshold``, and that have at least ``overlap`` of
+    their days in common, the vectors over all days correlate by about ``threshold * overlap``; the signs of a
+    random projection agree with the probability ``1 - angle / pi``.
+    """
+    agree = 1 - math.acos(threshold * overlap) / math.pi
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)))
+
+
+def _signs(days: np.ndarray, n: int) -> np.ndarray:
+    """A row of ``n`` signs for each day, the same wherever the day occurs."""
+    words = np.arange(1, n // 64 + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = days.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0xD1342543DE82EF95) + words
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    bits = np.unpackbits(x.view(np.uint8).reshape(len(days), -1), axis=1)[:, :n]
+    return bits.astype(np.float32) * 2 - 1
+
+
+def return_sketches(returns: DataFrame, bands: int, bits: int, spec: PanelSpec = PanelSpec(), ret: str = "daily_return") -> DataFrame:
+    """Per series with returns that vary: its number of days, and a code of ``bits`` signs for each band.
+
+    A group is one series, which the calendar bounds.
+    """
+    day = F.datediff(spec.ts, F.lit("1970-01-01").cast("date"))
+    rows = returns.filter(F.col(ret).isNotNull()).select(F.col(spec.key).alias("key"), day.alias("day"), F.col(ret).cast("double").alias("value"))
+    weights = 1 << np.arange(bits)
+
+    def sketch(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("day")
+        value = series["value"].to_numpy() - series["value"].mean()
+        if not np.isfinite(value).all() or not (value * value).sum() > 0:
+            return pd.DataFrame({"key": pd.Series(dtype=object), "days": pd.Series(dtype="int64"), "codes": pd.Series(dtype=object)})
+        sums = (value / np.abs(value).max()) @ _signs(series["day"].to_numpy(), bands * bits)
+        codes = (sums.reshape(bands, bits) > 0) @ weights
+        return pd.DataFrame({"key": [key[0]], "days": [len(series)], "codes": [codes.astype(np.int32).tolist()]})
+
+    return rows.groupBy("key").applyInPandas(sketch, f"key {rows.schema['key'].dataType.simpleString()}, days long, codes array<int>")
+
+
+def candidate_pairs(sketches: DataFrame, overlap: float = 0.9) -> DataFrame:
+    """key_a, key_b and the days of the longer one, of series that share a band; every pair once.
+
+    A pair is taken in the first band it shares, so it needs no further exchange.
+    """
+    each = sketches.select("key", "days", "codes", F.posexplode("codes").alias("band", "code"))
+    a, b = (each.select("band", "code", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "days", "codes")]) for side in "ab")
+    same = F.zip_with("codes_a", "codes_b", lambda x, y: x == y)
+    long_enough = F.least("days_a", "days_b") >= F.greatest("days_a", "days_b") * overlap
+    met = a.join(b, ["band", "code"]).filter((F.col("key_a") < F.col("key_b")) & long_enough)
+    firsts = met.filter(F.array_position(same, True) == F.col("band") + 1)
+    return firsts.select("key_a", "key_b", F.greatest("days_a", "days_b").alias("most_days"))
+
+
+def correlated_pairs(
+    returns: DataFrame,
+    threshold: float,
+    spec: PanelSpec = PanelSpec(),
+    ret: str = "daily_return",
+    overlap: float = 0.9,
+    recall: float = 0.999,
+    slices: int = SLICES,
+) -> DataFrame:
+    """Pairs ``key_a < key_b`` whose returns correlate by ``threshold`` at least over their common days.
+
+    Both series have ``overlap`` of the longer one's days in common.  Candidates are series that share a band of
+    signs of random projections; a pair at the threshold is one with the probability ``recall``, one above it
+    with a greater probability.  Bands get longer with the number of series, so that unrelated ones rarely meet.
+    Every candidate is checked on the returns.  Series whose returns don't vary correlate with none.
+    """
+    if not 0 < threshold <= 1 or not 0 < overlap <= 1:
+        raise ValueError("threshold and overlap are positive shares")
+    n = returns.select(spec.key).distinct().count()
+    bits = min(30, max(8, math.ceil(math.log2(max(n, 2)))))
+    sketches = stored(return_sketches(returns, bands_needed(threshold, overlap, bits, recall), bits, spec, ret), "sketches")
+    pairs = stored(candidate_pairs(sketches, overlap), "candidate-pairs")
+    checked = return_correlation(returns, pairs, spec, ret, slices).join(pairs, ["key_a", "key_b"])
+    enough = (F.col("days") >= F.col("most_days") * overlap) & (F.col("correlation") >= threshold)
+    return checked.filter(enough).drop("most_days")
