@@ -113,6 +113,23 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def delivery(raw: DataFrame, attrs: DataFrame) -> DataFrame:
+    """What one exchange delivers again: the bars of its instruments before 1999."""
+    listed = attrs.filter(F.col("exchange") == "LSE").select("ticker")
+    return raw.filter(F.col("date") < F.lit("1999-01-01").cast("date")).join(listed, "ticker", "left_semi")
+
+
+def with_twins(prices: DataFrame) -> DataFrame:
+    """Returns, with two followers of each instrument that move against it on some days."""
+    own = prices.filter(F.col("daily_return").isNotNull()).select("ticker", "date", "daily_return")
+    day = F.substring("ticker", 4, 20).cast("long") + F.dayofyear("date")
+    found = own
+    for prefix, every in (("TWIN", 25), ("SHADOW", 60)):
+        moved = F.when(day % every == 0, -F.col("daily_return")).otherwise(F.col("daily_return"))
+        found = found.union(own.select(F.concat(F.lit(prefix), "ticker"), "date", moved))
+    return found
+
+
 def tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as bars of a few very long series: one per event type, one bar per instant."""
     i = F.col("event_id")

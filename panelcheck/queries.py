@@ -947,3 +947,6 @@ query(
         "staging",
     ),
 )(lambda z: densify(z.staging.select(*SPEC.grid, "close"), K, TS))
+
+
+from . import deliveries  # noqa: E402, F401  (registers its queries)

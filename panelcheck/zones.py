@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from panelstats.plans.warehouse import Warehouse
 from panelstats.session import colocate_joins
 from panelstats.shared import shared_folder
+from panelstats.sources.panel import read_panel
+from panelstats.sources.sinks import BUCKET, replace_keys
 from panelstats.spec import PanelSpec
 
 from . import market
@@ -80,6 +82,17 @@ class Zones:
     def anomalies(self) -> DataFrame:
         return self.warehouse.write_anomalies(self.staging)
 
+    @once
+    def refreshed(self) -> Warehouse:
+        """Zones by bucket, with summaries, after one exchange delivered the histories of its instruments again."""
+        house = Warehouse(self.spark, f"{self.root}/refreshed", self.spec, layout="hashed")
+        raw = house.path("raw")
+        replace_keys(self.raw, raw, self.spec, house.bucket_count())
+        star = house.write_star(house.write_staging(read_panel(self.spark, raw, self.spec).drop(BUCKET)), self.attrs)
+        house.write_summaries(star)
+        house.refresh(market.delivery(self.raw, self.attrs), raw, self.attrs)
+        return house
+
     @property
     def star(self) -> dict[str, DataFrame]:
         return {
