@@ -5,6 +5,10 @@ sidebars, notices, adverts, forms or reader comments and blocks that are mostly
 rich in stop words are good; short blocks and blocks with fewer stop words are ambiguous.  The second pass
 lets every ambiguous block inherit the label of the nearest decided block, counted in blocks.
 
+A name (class or id) condemns what is in its element, but not an element that the page's article is in: one that is
+or holds all outermost articles or mains, or, where every one of them is condemned or there is none, one that
+holds most of the good text.  There the block rules decide.  Names of comments condemn always.
+
 Where a page says which element is its article, ambiguous blocks of the article ask decided blocks of the
 article only (there being none, they are good), blocks without stop words are ambiguous there instead of
 bad, and blocks outside are bad once the article has a good one.
@@ -44,6 +48,7 @@ BAD_NAMES = frozenset(
     "copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice pagination popup promo related "
     "reply replies share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
 STOP_WORDS = frozenset(
     # English
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or our she that the their they "
@@ -80,24 +85,70 @@ class Block:
     heading: bool
     in_article: bool
     in_bad: bool
+    named: tuple[int, ...] = ()
     label: int = UNDECIDED
 
 
-def _is_bad(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in BAD_TAGS or tag == "header" and not in_article:
-        return True
-    for name, value in _NAMES.findall(attributes):
-        found = {w.lower() for w in _WORD.findall(value)}
-        if found & (BAD_ROLES if name.lower() == "role" else BAD_NAMES) and tag not in ("html", "body"):
-            return True
-    return False
+@dataclass
+class Named:
+    """An element that its names condemn, and how many outermost articles and mains it holds or is."""
+
+    comments: bool
+    articles: int = 0
+    mains: int = 0
+
+
+@dataclass
+class Page:
+    """Blocks, condemned elements, outermost articles and mains, and how many of both no name condemns."""
+
+    blocks: list[Block]
+    named: list[Named]
+    articles: int = 0
+    mains: int = 0
+    free: int = 0
+
+
+def _judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, set[str]]:
+    """Whether an element is bad by its kind or role, and the bad words of its names."""
+    bad, words = tag in BAD_TAGS or tag == "header" and not in_article, set()
+    if tag not in ("html", "body"):
+        for name, value in _NAMES.findall(attributes):
+            found = {w.lower() for w in _WORD.findall(value)}
+            if name.lower() == "role":
+                bad = bad or bool(found & BAD_ROLES)
+            else:
+                words |= found & BAD_NAMES
+    return bad, words
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
-    found: list[Block] = []
+    """Blocks with text, in page order, judged by their elements and these elements' names."""
+    read = read_page(page)
+    if read.named:
+        spared = _spared(read)
+        for b in read.blocks:
+            b.in_bad = b.in_bad or not spared.issuperset(b.named)
+    return read.blocks
+
+
+def _spared(page: Page) -> set[int]:
+    """The condemned elements that hold the page's article."""
+    some = {i: n for i, n in enumerate(page.named) if not n.comments}
+    spared = {i for i, n in some.items() if n.articles and n.articles == page.articles or n.mains and n.mains == page.mains}
+    if some and not page.free:
+        good = [b for b in page.blocks if label_alone(b) == GOOD]
+        total = sum(len(b.text) for b in good)
+        spared |= {i for i in some if 2 * sum(len(b.text) for b in good if i in b.named) > total}
+    return spared
+
+
+def read_page(page: str) -> Page:
+    """Blocks with text, in page order, and what the page's elements say."""
+    read = Page([], [])
+    found = read.blocks
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, within an article, within something bad
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # element, within an article, within something bad, condemned ones around
     links = link_chars = 0
     at, end = 0, len(page)
 
@@ -106,8 +157,8 @@ def blocks_of(page: str) -> list[Block]:
         raw = "".join(parts)
         text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if text:
-            tag, in_article, in_bad = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, link_chars, tag in HEADINGS, in_article, in_bad))
+            tag, in_article, in_bad, named = stack[-1] if stack else ("", False, False, ())
+            found.append(Block(text, link_chars, tag in HEADINGS, in_article, in_bad, named))
         parts.clear()
         link_chars = 0
 
@@ -153,10 +204,20 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if stack and (stack[-1][0] == "p" or stack[-1][0] in HEADINGS or tag == "li" == stack[-1][0]):
             stack.pop()
-        _, in_article, in_bad = stack[-1] if stack else ("", False, False)
-        stack.append((tag, in_article or tag in CONTENT_TAGS, in_bad or _is_bad(tag, attributes, in_article)))
+        _, in_article, in_bad, named = stack[-1] if stack else ("", False, False, ())
+        bad, words = _judged(tag, attributes, in_article)
+        if words:
+            named = (*named, len(read.named))
+            read.named.append(Named(not words.isdisjoint(COMMENT_NAMES)))
+        if tag in CONTENT_TAGS and words.isdisjoint(COMMENT_NAMES) and not (bad or in_bad) and not any(s[0] == tag for s in stack):
+            main = tag == "main"
+            read.articles, read.mains, read.free = read.articles + (not main), read.mains + main, read.free + (not named)
+            for i in named:
+                read.named[i].articles += not main
+                read.named[i].mains += main
+        stack.append((tag, in_article or tag in CONTENT_TAGS, in_bad or bad, named))
     flush()
-    return found
+    return read
 
 
 def label_alone(block: Block) -> int:

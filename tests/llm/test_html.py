@@ -32,6 +32,23 @@ def test_boilerplate_goes_and_short_blocks_inherit():
     assert text(page) == " ".join(["Short", (SENTENCE * 3).strip(), "Well. one two", (SENTENCE * 4).strip()])
 
 
+def test_names_don_t_condemn_the_article():
+    body, aside = f"<p>{SENTENCE * 3}</p><p>Well.</p>", f"<p>{SENTENCE * 9}</p>"
+    want = f"{(SENTENCE * 3).strip()} Well."
+    for name in ("has-sidebar", "no-sidebar", "share-enabled", "ad-free", "with-newsletter promo"):
+        side = f"<div class='sidebar'>{aside}</div><section id='comments'><article class='comment'>{aside}</article></section>"
+        assert text(f"<main class='{name}'><article>{body}</article></main>{side}") == want
+        assert text(f"<article class='{name}'>{body}</article>{side}") == want
+        assert text(f"<main><article id='{name}'>{body}</article></main>{side}") == want
+        assert text(f"<div class='{name}'><article>{body}</article>{side}</div>") == want
+        assert text(f"<div class='{name}'><div class='x {name}'><main>{body}</main></div></div>{side}") == want
+        assert text(f"<div class='{name}'>{body}</div><div class='ad'>Buy</div>") == want
+    # names still condemn what isn't the article
+    assert text(f"<article>{body}</article><div class='newsletter'>{aside}</div>") == want
+    assert text(f"<main>{body}<div class='related'><article class='teaser'><p>{SENTENCE * 4}</p></article></div></main>").startswith(want)
+    assert text(f"<article>{body}<div class='share'>{aside}</div></article><ol class='comment-list'><li><article>{aside}</article></ol>") == want
+
+
 def test_pages_without_an_article():
     page = f"<div>Menu</div><div><a href=1>one link</a> <a href=2>and another</a></div><p>Title</p><p>{SENTENCE * 3}</p><p>So.</p><p>{SENTENCE * 3}</p><div><a href=3>more</a></div><p>Imprint</p>"
     assert text(page) == f"Title {(SENTENCE * 3).strip()} So. {(SENTENCE * 3).strip()}"
