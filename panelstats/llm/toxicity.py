@@ -10,8 +10,8 @@ Everything is scored.
 
 Defined results: null and empty texts have the score of the intercept; labels of one document that differ
 count as toxic; labels that are null or whose document is missing teach nothing; without labels of both
-kinds every score is the share of toxic labels (0 without labels); repeated rows are scored alike, and
-each is an example; null ids are kept, scored and never labelled; an empty table gives an empty result.
+kinds every score is the share of toxic labels (0 without labels); repeated rows are scored alike; of rows with
+the same labelled id the one with the least text is the example; null ids are kept, scored and never labelled; an empty table gives an empty result.
 Only the named columns are read.
 """
 
@@ -97,8 +97,8 @@ def learn(examples: list[tuple[np.ndarray, int]], bits: int = BITS, how: Ftrl =
 
 
 def in_training(id_col: Column) -> Column:
-    """Rows that labels are learnt from: crc32 of the id as text isn't 1 modulo 3."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 3 != 1
+    """Rows that labels are learnt from: crc32 of the id as text isn't 1 modulo 3 (nor is that of a null id)."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
 def fit_toxicity(
@@ -120,7 +120,8 @@ def fit_toxicity(
     order = F.pmod(F.xxhash64("labelled", F.lit("toxicity")), F.lit(_SAMPLE))
     chosen = known.filter(order < min(_SAMPLE, _SAMPLE * max_rows // max(n, 1)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("labelled"))  # at most about max_rows pairs
+    found = rows.join(F.broadcast(chosen), F.col("id") == F.col("labelled"))  # at most about max_rows pairs
+    sample = found.groupBy("id", "toxic").agg(F.min("text").alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -135,17 +136,22 @@ def fit_toxicity(
     )
 
     def train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+        parts: list[tuple[np.ndarray, ...]] = []
         for given in batches:
-            places, toxic = given.column(0).to_pylist(), given.column(2).to_pylist()
-            for place, buckets, label in zip(places, given.column(1), toxic, strict=True):
-                examples.append((place, label, np.frombuffer(buckets.as_buffer(), "<i4").copy()))
-        examples.sort(key=lambda e: (e[0], e[1], len(e[2])))
-        kinds = {label for _, label, _ in examples}
-        if len(kinds) == 2:
-            w, intercept = learn([(buckets, label) for _, label, buckets in examples], bits, how)
+            data = given.column(1)
+            ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+            flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].copy().view("<i4")
+            parts.append((given.column(0).to_numpy(), given.column(2).to_numpy(), np.diff(ends) // 4, flat))
+        if not parts:
+            return
+        place, toxic, n, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        begin = np.cumsum(n) - n
+        order = np.lexsort((n, toxic, place)).tolist()
+        if toxic.min() < toxic.max():
+            w, intercept = learn([(flat[begin[i] : begin[i] + n[i]], int(toxic[i])) for i in order], bits, how)
         else:
-            w, intercept = np.zeros(1), 35.0 if kinds == {1} else -35.0
+            w, intercept = np.zeros(1), 35.0 if toxic[0] else -35.0
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *at.tolist()], pa.int32()), pa.array([intercept, *w[at].tolist()], pa.float64())],

@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from panelstats.llm import toxicity
 from panelstats.llm.text import WordHashes
 
@@ -84,3 +86,21 @@ def test_sample_is_bounded_and_fixed(scored, labels):
     a = toxicity.fit_toxicity(docs, labels, max_rows=20)
     b = toxicity.fit_toxicity(docs.repartition(5), labels.repartition(3), max_rows=20)
     assert (a.at == b.at).all() and np.allclose(a.weight, b.weight)
+
+
+def test_one_labelled_id_with_many_rows(spark, labels):
+    """Rows of one id are one example, whatever their number."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = labels.filter(toxicity.in_training(F.col("doc_id"))).join(docs, "doc_id").orderBy("doc_id").first()
+    many = docs.unionByName(spark.range(500).select(F.lit(first.doc_id).alias("doc_id"), F.lit(first.text).alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in docs.dtypes[2:])))
+    models = [toxicity.fit_toxicity(d, labels, train=toxicity.in_training(F.col("doc_id"))) for d in (docs, many)]
+    assert (models[0].at == models[1].at).all() and (models[0].weight == models[1].weight).all()
+
+
+def test_held_out_is_never_null(spark):
+    from panelstats.llm import lm
+
+    ids = spark.createDataFrame([(None,), (1,), (3,)], "doc_id long")
+    for train in (toxicity.in_training, lm.training_rows):
+        got = {r[0]: r[1] for r in ids.select("doc_id", ~train(F.col("doc_id"))).collect()}
+        assert got[None] is False and None not in got.values()
