@@ -21,6 +21,7 @@ are read, so further columns of any name do no harm.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -49,23 +50,48 @@ SLOTS = 64
 
 
 #: Words kept for the next texts, in two generations of this size at most.
-KEPT_WORDS = 200_000
-#: A place where the tokenizer parts words from marks anyway.
+KEPT_WORDS = 60_000
+#: Settings of tokenizer files whose words can be encoded apart.  The normaliser folds case and white
+#: space, and the pre-tokenizer ends a run of letters at everything else.
+_NORMALISER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+#: A place where such a tokenizer parts words from marks anyway.
 _MARKS = re.compile(rb"(?<=[a-z])(?=[.,!%#&$*])")
 _encoders: dict[str, WordIds] = {}
 
 
+def words_apart(settings: dict) -> bool:
+    """Whether a tokenizer file allows to put a text's ids together from those of its lower-cased words."""
+    steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    plain = settings.get("normalizer") == _NORMALISER and steps[0] == _SPLIT
+    level = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in steps[1:]) if plain else False
+    return level and not settings.get("truncation") and not settings.get("padding") and not (settings.get("model") or {}).get("dropout")
+
+
 class WordIds:
-    """Token ids of texts as little-endian bytes, put together from those of their words.
+    """Token ids of texts as little-endian bytes.
 
-    The tokenizer ignores the case of A-Z, drops white space and joins no token across it, nor across the
-    end of a run of letters.  Words not met lately are encoded many at a time.
+    Where the tokenizer ignores the case of A-Z, drops white space and joins no token across it, nor across the end
+    of a run of letters (``words_apart``), they are put together from those of words, and words not met lately are
+    encoded many at a time.  Other tokenizers get whole texts, as do texts that hold an added token's content.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        with open(tokenizer_path, encoding="utf-8") as file:
+            settings = json.load(file)
+        self.apart = words_apart(settings)
+        self.added = [t["content"].lower().encode() for t in settings.get("added_tokens") or []]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -76,6 +102,9 @@ class WordIds:
             _encoders[tokenizer_path] = cls(tokenizer_path)
         return _encoders[tokenizer_path]
 
+    def _whole(self, text: str | None) -> bytes:
+        return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, some: list[bytes]) -> None:
         shown = [w.decode("utf-8", "surrogatepass") for w in some]
         begins = np.cumsum([0, *(len(w) + 1 for w in shown)])
@@ -88,7 +117,11 @@ class WordIds:
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Ids of some texts; the caller bounds how many it hands over."""
-        split = [_MARKS.sub(b" ", raw(t).lower()).split() for t in texts]
+        if not self.apart:
+            return [self._whole(t) for t in texts]
+        lower = [raw(t).lower() for t in texts]
+        whole = {i for i, t in enumerate(lower) if any(a in t for a in self.added)}
+        split = [[] if i in whole else _MARKS.sub(b" ", t).split() for i, t in enumerate(lower)]
         if len(self.known) > KEPT_WORDS:
             self.older, self.known = self.known, {}
         fresh = set().union(*split).difference(self.known)
@@ -97,7 +130,7 @@ class WordIds:
         fresh = list(fresh.difference(again))
         for i in range(0, len(fresh), 512):
             self._learn(fresh[i : i + 512])
-        return [b"".join(map(self.known.__getitem__, w)) for w in split]
+        return [self._whole(texts[i]) if i in whole else b"".join(map(self.known.__getitem__, w)) for i, w in enumerate(split)]
 
 
 def pieces(

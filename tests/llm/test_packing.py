@@ -113,3 +113,29 @@ def test_documents_and_sequences(documents, tokenizer):
     for s in packing.sequences(packed).collect():
         own = sorted((r.offset, bytes(r.ids)) for r in rows if r.sequence_id == s.sequence_id)
         assert bytes(s.ids) == b"".join(ids for _, ids in own) and len(s.ids) == 4 * s.n_tokens
+
+
+def test_tokenizers_of_other_kinds(tmp_path):
+    """Case that counts, white space that counts, and a byte-level vocabulary: ids are those of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    cased = Tokenizer(models.WordLevel({"[UNK]": 0, "Hello": 1, "hello": 2, "World": 3, "\n": 4}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    lower = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "a b": 2, " ": 3}, unk_token="[UNK]"))
+    lower.normalizer = normalizers.Lowercase()
+    for i, made in enumerate((cased, lower)):
+        made.save(str(tmp_path / f"{i}.json"))
+    texts = ["Hello World", "hello  World\nHello", "A B", "a b", "", None, "don't DON'T", "x\n\n y"]
+    for path in (str(tmp_path / "0.json"), str(tmp_path / "1.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        whole, made = Tokenizer.from_file(path), packing.WordIds(path)
+        assert not made.apart
+        for text, ids in zip(texts, made.of(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert packing.WordIds(tokenizer_path()).apart
+
+
+def test_contents_of_added_tokens(tokenizer):
+    texts = ["a<|endoftext|>b", "A <|ENDOFTEXT|> b", "x <|startoftext|><|endoftext|>", "< | endoftext"]
+    for text, ids in zip(texts, packing.WordIds(tokenizer_path()).of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
