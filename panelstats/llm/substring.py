@@ -38,7 +38,7 @@ REACH, MOST_WORDS = 2, 16
 #: Units of a lot, within which repeats are found early.
 LOT = 1_000_000
 ROW = "_llm_row"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD, _SPACE = re.compile(r"[^\x20\x09-\x0D]+"), " \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15
 #: Seed of the digests of lines.
 _LINE = 9
@@ -189,7 +189,7 @@ def without(text: str, spans: list[dict[str, int]], min_words: int) -> tuple[str
     """The text without its long repeats, their offsets in code points, and how many words went."""
     places = [m.span() for m in _WORD.finditer(text)]
     first, n = (np.array([s[k] for s in spans], np.int64) for k in ("first", "n"))
-    kept, offsets, at, gone = [], [], 0, 0
+    kept, offsets, at, gone, b = [], [], 0, 0, 0
     for a, b in removed_runs(len(places), first, n, min_words):
         begin, end = places[a][0], places[b - 1][1]
         kept.append(text[at:begin])
@@ -198,7 +198,8 @@ def without(text: str, spans: list[dict[str, int]], min_words: int) -> tuple[str
         gone += b - a
     if not offsets:
         return text, [], 0
-    return "".join([*kept, text[at:]]).rstrip(), offsets, gone
+    left = "".join([*kept, text[at:]])
+    return left.rstrip(_SPACE) if b == len(places) else left, offsets, gone
 
 
 def deduplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -142,3 +142,14 @@ def test_repeated_lines_go_however_short(spark, written):
     docs = written(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id: [x.split() for x in r.text.split("\n") if x.split()] for r in substring.deduplicate(docs).collect()}
     assert got == plain_lines(rows)
+
+
+def test_only_separators_go_with_a_run():
+    """U+3000 and U+00A0 belong to words; white space after kept words stays."""
+    words = [f"w{i}" for i in range(40)]
+    span = {"first": 0, "n": 30}
+    head, tail = " ".join(words[:30]), " ".join(words[30:])
+    assert substring.without(f"{head} {tail}　", [span], 30)[0] == f"{tail}　"
+    assert substring.without(f"{head} {tail}  \n", [span], 30)[0] == f"{tail}  \n"
+    kept, offsets, gone = substring.without(f"x  \n {head}\n", [{"first": 1, "n": 30}], 30)
+    assert kept == "x " and gone == 30 and offsets == [(5, 5 + len(head))]
