@@ -1,44 +1,56 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by the Jaccard similarity of word shingles, with candidates from the SimHash index.
 
 Texts link if their sets of ``SHINGLE``-word shingles have a similarity of ``SIMILAR`` at least; linked texts form
-classes.  Candidates are texts that agree in a band of min-hashes; every link is checked on the sets themselves.
-With 24 bands of 5 a pair at 0.8 is no candidate with a probability of 7e-5, at 0.85 of 2e-6.
+classes.  A text's fingerprint has a bit where over half of its shingles' hashes have it.  Candidates are texts that
+meet in an upper node of the Gray-order index (``simhash``) and differ in at most ``DISTANCE`` bits.  Unlike there,
+a wide distance can't be covered by masks that miss nothing, so random masks of a few bits are used, as many as a
+pair at ``SIMILAR`` asks for to meet with a probability of ``RECALL``; they have more bits for more texts, which
+keeps upper nodes small.  Every link is checked on the sets themselves.
 
-Equal sets are one row of all that follows.  Candidates in large groups are not compared pair by pair: while
-too many pairs are open, each text is compared with one of its groups' members a round, and pairs already linked
-through others are open no more.  The last round compares all pairs that are left, so the classes are those of
-all linked candidates.
+Equal sets are one row of all that follows.  First every text is checked against its nearest candidate, which links
+most of a group of copies.  Then texts that have candidates are indexed again, and each is checked against the next
+``PARTNERS`` of them that it isn't linked with yet, the nearest first, until there are none.  Sketches of 64 bytes
+(min-hashes) sort out pairs far under the threshold before any text travels.
 
 Defined results: null, empty and blank texts have the empty set, and are one class; fewer words than a shingle
-make one shingle; an empty table gives an empty result.  Only the named columns are read.
+make one shingle; an empty table gives an empty result.  Only the named columns are read; names that begin with
+``_llm_`` are reserved.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstats.shared import numbered, stored
 
 from .components import components
-from .text import WordHashes, lower_words
+from .simhash import lower_nodes, node_pairs
+from .text import WordHashes, batch, lower_words, raw
 
 SHINGLE = 5
 SIMILAR = Fraction(4, 5)
-BANDS, ROWS = 24, 5
-#: Open pairs a text up to which all are compared, and rounds before that at most.
-OPEN, ROUNDS = 50, 12
+#: Bits that candidates differ in at most, and the probability that a pair at the threshold is one.
+DISTANCE, RECALL = 18, 0.95
+#: Bits of a mask at least and at most; a mask's patterns are to be about a sixty-fourth of the texts.
+BITS, MOST_BITS, CROWD = 12, 16, 6
+#: Bytes of a sketch, and the share of them that a pair worth checking has in common.
+MINS, LIKELY = 64, 0.6
+#: Candidates that a text is checked against in a round; shingles hashed at a time.
+PARTNERS, PART = 32, 200_000
 _ROW = "_llm_row"
+_FAR = 255
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _random = np.random.default_rng(5)
-_FACTORS = _random.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
-_ADDED = _random.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False)
+_FACTORS = _random.integers(0, 2**64, MINS, np.uint64, endpoint=False) | np.uint64(1)
+_ADDED = _random.integers(0, 2**64, MINS, np.uint64, endpoint=False)
 
 
 def shingles(text: str | None, hashes: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,97 +75,228 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction = SIMILAR) -> bool:
     return both * least.denominator >= (len(a) + len(b) - both) * least.numerator
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of band hashes for each of some sets, none empty."""
+# -- fingerprints and sketches -------------------------------------------------------------------
+
+
+def fingerprints_and_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and sketch (a row of bytes) of each of some sets, none empty."""
     flat = np.concatenate(sets)
     begins = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), BANDS), np.uint64)
-    for band in range(BANDS):
-        mixed = np.full(len(sets), band, np.uint64)
-        for i in range(band * ROWS, band * ROWS + ROWS):
-            mixed = (mixed ^ np.minimum.reduceat(flat * _FACTORS[i] + _ADDED[i], begins)) * _MIX
-            mixed ^= mixed >> np.uint64(31)
-        out[:, band] = mixed
-    return out
+    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+    sizes = np.array([len(s) for s in sets])
+    prints = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    mins = np.empty((len(sets), MINS), np.uint8)
+    for i in range(MINS):
+        mins[:, i] = (np.minimum.reduceat(flat * _FACTORS[i] + _ADDED[i], begins) * _MIX) >> np.uint64(56)
+    return prints, mins
 
 
 def prints(ranked: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row (rank, text): rank, key (equal for equal sets) and bands."""
+    """Per row (rank, text): rank, key (equal for equal sets), fp and mins."""
+
+    def lot(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+        fp, mins = np.zeros(len(sets), np.uint64), [b""] * len(sets)
+        full = [i for i, s in enumerate(sets) if len(s)]
+        if full:
+            found, rows = fingerprints_and_sketches([sets[i] for i in full])
+            fp[full] = found
+            for i, row in zip(full, rows, strict=True):
+                mins[i] = row.tobytes()
+        return fp, mins
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for given in batches:
-            sets = [shingles(t, hashes, shingle) for t in given.column(1).to_pylist()]
-            keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            full = [s for s in sets if len(s)]
-            found = bands(full).view(np.int64) if full else np.empty((0, BANDS), np.int64)
-            ends = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([given.column(0), pa.array(keys), lists], names=["rank", "key", "bands"])
+            begin, sets, held = 0, [], 0
+            for i, text in enumerate(given.column(1).to_pylist()):
+                sets.append(shingles(text, hashes, shingle))
+                held += len(sets[-1])
+                if held >= PART or i == given.num_rows - 1:
+                    fp, mins = lot(sets)
+                    keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                    columns = [given.column(0).slice(begin, len(sets)), pa.array(keys), pa.array(fp.view(np.int64)), pa.array(mins, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["rank", "key", "fp", "mins"])
+                    begin, sets, held = i + 1, [], 0
+
+    return ranked.select("rank", "text").mapInArrow(read, f"rank {ranked.schema['rank'].dataType.simpleString()}, key long, fp long, mins binary")
+
+
+# -- candidates ----------------------------------------------------------------------------------
+
+
+def expected_recall(bits: int, n_masks: int, distance: int = DISTANCE, least: Fraction = SIMILAR) -> float:
+    """The probability that fingerprints of two sets at the threshold meet under some random mask, at most ``distance`` apart."""
+    cosine = 2 * float(least) / (1 + float(least))
+    differ = math.acos(cosine) / math.pi
+    total = 0.0
+    for d in range(distance + 1):
+        meet = math.comb(64 - d, bits) / math.comb(64, bits)
+        total += math.comb(64, d) * differ**d * (1 - differ) ** (64 - d) * (1 - (1 - meet) ** n_masks)
+    return total
+
 
-    return ranked.select("rank", "text").mapInArrow(read, f"rank {ranked.schema['rank'].dataType.simpleString()}, key long, bands array<long>")
+def candidate_masks(n: int, recall: float = RECALL, distance: int = DISTANCE, least: Fraction = SIMILAR) -> list[int]:
+    """Random masks for ``n`` texts, the same ones each time."""
+    bits, n_masks = min(MOST_BITS, max(BITS, int(math.log2(max(n, 2))) - CROWD)), 8
+    while expected_recall(bits, n_masks, distance, least) < recall and n_masks < 4096:
+        n_masks += 4
+    rng = np.random.default_rng(6)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(n_masks)]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar."""
-    left, right = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+def _longs(column: pa.Array, kind: type = np.int64) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
+def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE) -> DataFrame:
+    """Each key with a candidate: key, and the nearest one (d, partner); keys are (key, fp)."""
+    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key",)), "jaccard-nodes")
+    schema = pa.schema([("key", pa.int64()), ("d", pa.int32()), ("partner", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for given in batches:
-            use = [similar(shingles(x, hashes, shingle), shingles(y, hashes, shingle), least) for x, y in zip(given.column(2).to_pylist(), given.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([given.column(0), given.column(1)], names=["a", "b"]).filter(pa.array(use, pa.bool_()))
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            same = (given.column(0).to_numpy() == given.column(1).to_numpy()).tolist()
+            for alike, x, y, kx, ky in zip(same, *(_longs(given.column(i), t) for i, t in ((2, np.uint64), (3, np.uint64), (4, np.int64), (5, np.int64))), strict=True):
+                if alike and len(x) == 1:
+                    continue
+                apart = np.bitwise_count(x[:, None] ^ y[None, :])
+                if alike:
+                    np.fill_diagonal(apart, _FAR)
+                for own, other, far in ((kx, ky, apart), *(() if alike else ((ky, kx, apart.T),))):
+                    at = far.argmin(axis=1)
+                    d = far[np.arange(len(own)), at]
+                    use = d <= distance
+                    if use.any():
+                        found.append((own[use], d[use], other[at[use]]))
+            if found:
+                key, d, partner = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield batch(schema, key=key, d=d.astype(np.int32), partner=partner)
+
+    pairs = node_pairs(nodes, distance, ["fps", "keys"]).select("node", "node_2", "fps", "fps_2", "keys", "keys_2")
+    near = pairs.mapInArrow(compare, "key long, d int, partner long")
+    return near.groupBy("key").agg(F.min(F.struct("d", "partner")).alias("best")).select("key", "best.d", "best.partner")
+
+
+def next_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE, partners: int = PARTNERS) -> DataFrame:
+    """Pairs (a, b), a > b, that aren't linked: for each a the next ``partners`` after its cursor, the nearest first.
+
+    Keys are (key, fp, root, d, last): a key's cursor is the distance and key of the candidate checked last.
+    """
+    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key", "root", "d", "last")), "jaccard-nodes")
+    columns = ["fps", "keys", "roots", "ds", "lasts"]
+    schema = pa.schema([("a", pa.int64()), ("d", pa.int64()), ("b", pa.int64())])
+
+    def open_pairs(alike: bool, one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        apart = np.bitwise_count(one[0].view(np.uint64)[:, None] ^ two[0].view(np.uint64)[None, :])
+        i, j = np.nonzero((apart <= distance) & (one[2][:, None] != two[2][None, :]))
+        if alike:
+            i, j = i[i < j], j[i < j]
+        d, x, y = apart[i, j].astype(np.int64), one[1][i], two[1][j]
+        first = x > y
+        a, b = np.where(first, x, y), np.where(first, y, x)
+        seen, last = np.where(first, one[3][i], two[3][j]), np.where(first, one[4][i], two[4][j])
+        use = (d > seen) | ((d == seen) & (b > last))
+        a, d, b = a[use], d[use], b[use]
+        order = np.lexsort((b, d, a))
+        a, d, b = a[order], d[order], b[order]
+        begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+        use = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)])) < partners
+        return a[use], d[use], b[use]
 
-    return both.mapInArrow(compare, "a long, b long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            same = (given.column(0).to_numpy() == given.column(1).to_numpy()).tolist()
+            packed = [_longs(c) for c in given.columns[2:]]
+            found = [open_pairs(same[i], [p[i] for p in packed[:5]], [p[i] for p in packed[5:]]) for i in range(given.num_rows)]
+            if found:
+                a, d, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield batch(schema, a=a, d=d, b=b)
 
+    pairs = node_pairs(nodes, distance, columns).select("node", "node_2", *columns, *(f"{c}_2" for c in columns))
+    found = pairs.mapInArrow(compare, "a long, d long, b long").distinct()
+    place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return found.withColumn("place", place).filter(F.col("place") <= partners).select("a", "d", "b")
 
-def _star(buckets: DataFrame, seed: int) -> DataFrame:
-    """Each key with one member of its buckets that it isn't linked with."""
-    order = F.struct(F.xxhash64("key", F.lit(seed)).alias("at"), "key", "root")
-    first = buckets.groupBy("bucket").agg(F.min(order).alias("first"))
-    mates = buckets.join(first, "bucket").filter(F.col("root") != F.col("first.root"))
-    return mates.groupBy(F.col("key").alias("a")).agg(F.min("first").alias("first")).select("a", F.col("first.key").alias("b"))
 
+# -- links ---------------------------------------------------------------------------------------
 
-def _all_pairs(buckets: DataFrame) -> DataFrame:
-    other = buckets.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    pairs = buckets.join(other, "bucket").filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("root_b")))
-    return pairs.select(F.col("key").alias("a"), "b").distinct()
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """key, and its text's bytes, compressed."""
 
-def _open(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The buckets' rows with the root of each key, where a bucket has more than one root."""
-    if roots is None:
-        rooted = buckets.withColumn("root", F.col("key"))
-    else:
-        rooted = buckets.drop("root").join(roots, F.col("key") == F.col("node"), "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    return stored(rooted.join(mixed, "bucket").select("key", "bucket", "root"), "jaccard-open")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for given in batches:
+            some = [raw(t) for t in given.column(1).to_pylist()]
+            data = pa.array([codec.compress(t, asbytes=True) if t else b"" for t in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([given.column(0), data, pa.array(map(len, some), pa.int64())], names=[given.schema.names[0], "data", "n"])
+
+    return texts.mapInArrow(pack, f"`{texts.columns[0]}` long, data binary, n long")
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar; sketches are (key, mins), texts (key, data, n)."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            x, y = (np.frombuffer(b"".join(given.column(i).to_pylist()), np.uint8).reshape(given.num_rows, MINS) for i in (2, 3))
+            use = (x == y).sum(axis=1) >= LIKELY * MINS
+            yield pa.RecordBatch.from_arrays([given.column(0), given.column(1)], names=["a", "b"]).filter(pa.array(use, pa.bool_()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, codec = WordHashes(), pa.Codec("zstd", 1)
+
+        def shingled(data: bytes, n: int) -> np.ndarray:
+            return shingles(codec.decompress(data, n, asbytes=True).decode("utf-8", "surrogatepass") if n else "", hashes, shingle)
+
+        for given in batches:
+            sides = (zip(given.column(i).to_pylist(), given.column(i + 1).to_pylist(), strict=True) for i in (2, 4))
+            use = [similar(shingled(*x), shingled(*y), least) for x, y in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([given.column(0), given.column(1)], names=["a", "b"]).filter(pa.array(use, pa.bool_()))
+
+    full = sketches.filter(F.length("mins") > 0)
+    left, right = (full.select(F.col("key").alias(k), F.col("mins").alias(f"mins_{k}")) for k in "ab")
+    close = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "mins_a", "mins_b").mapInArrow(likely, "a long, b long"), "jaccard-likely")
+    left, right = (texts.select(F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("data", "n"))) for k in "ab")
+    both = close.join(left, "a").join(right, "b").select("a", "b", "data_a", "n_a", "data_b", "n_b")
+    return both.mapInArrow(compare, "a long, b long")
 
 
-def linked(distinct: DataFrame, texts_of, shingle: int = SHINGLE, least: Fraction = SIMILAR) -> DataFrame:
-    """Edges (a, b) with the components of all similar candidates among distinct keys (columns key, bands).
+def linked(distinct: DataFrame, texts_of, shingle: int = SHINGLE, least: Fraction = SIMILAR, partners: int = PARTNERS, recall: float = RECALL) -> DataFrame:
+    """Edges (a, b) with the components of all similar candidates among distinct keys (columns key, fp, mins).
 
-    ``texts_of`` gives (key, text) for a table of keys.
+    ``texts_of`` gives (key, data, n) for a table of keys.
     """
-    now = _open(distinct.select("key", F.explode("bands").alias("bucket")), None)
-    keys = stored(now.select("key").distinct(), "jaccard-keys")
-    texts, n_keys = stored(texts_of(keys), "jaccard-texts"), keys.count()
-    edges = None
-    for seed in range(ROUNDS + 1):
-        size = F.col("count").cast("double")
-        shares = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum(size).alias("s"), F.sum(size * size).alias("q"))
-        n_open = shares.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
-        last = n_open <= OPEN * n_keys or seed == ROUNDS
-        found = stored(_verified(_all_pairs(now) if last else _star(now, seed), texts, shingle, least), "jaccard-links")
-        edges = found if edges is None else edges.union(found)
-        if last:
+    on = candidate_masks(distinct.count(), recall, DISTANCE, least)
+    nearest = stored(nearest_candidates(distinct.select("key", "fp"), on), "jaccard-nearest")
+    texts = stored(texts_of(nearest.select("key")), "jaccard-texts")
+    pairs = nearest.select(F.greatest("key", "partner").alias("a"), F.least("key", "partner").alias("b")).distinct()
+    edges = stored(verified(pairs, distinct, texts, shingle, least), "jaccard-links")
+    open_keys = nearest.select("key").join(distinct.select("key", "fp"), "key")
+    cursors = None
+    while True:
+        roots = components(edges)
+        keys = open_keys.join(roots, F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "key").alias("root"))
+        if cursors is None:
+            keys = keys.withColumns({"d": F.lit(-1).cast("long"), "last": F.lit(0).cast("long")})
+        else:
+            moved = cursors.select(F.col("a").alias("key"), F.col("at.d").alias("d"), F.col("at.b").alias("last"))
+            keys = keys.join(moved, "key", "left").withColumns({"d": F.coalesce("d", F.lit(-1)), "last": F.coalesce("last", F.lit(0))})
+        pairs = stored(next_candidates(stored(keys, "jaccard-open"), on, DISTANCE, partners), "jaccard-pairs")
+        per_key = pairs.groupBy("a").agg(F.max(F.struct("d", "b")).alias("at"), F.count("*").alias("n"))
+        state = per_key.agg(F.count("*").alias("keys"), F.max("n").alias("most")).first()
+        if not state["keys"]:
+            return edges
+        edges = stored(edges.union(verified(pairs.select("a", "b"), distinct, texts, shingle, least)), "jaccard-links")
+        if state["most"] < partners:
             return edges
-        now = _open(now, components(edges))
+        fresh = per_key.select("a", "at")
+        cursors = stored(fresh if cursors is None else cursors.join(fresh, "a", "left_anti").union(fresh), "jaccard-cursors")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Fraction = SIMILAR) -> DataFrame:
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Fraction = SIMILAR, partners: int = PARTNERS) -> DataFrame:
     """The rows of ``docs`` (a stored table) without all but the first of each class.
 
     The first has the least id (null ids last); of rows with equal ids, the one that comes first in the table.
@@ -161,17 +304,18 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = numbered(docs, _ROW)
     rank = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), F.col(_ROW).alias("row"))
     all_prints = stored(prints(placed.select(rank.alias("rank"), F.col(text_col).alias("text")), shingle), "jaccard-prints")
-    distinct = stored(all_prints.groupBy("key").agg(F.min(F.struct("rank", "bands")).alias("first")).select("key", "first.*"), "jaccard-distinct")
+    distinct = stored(all_prints.groupBy("key").agg(F.min(F.struct("rank", "fp", "mins")).alias("first")).select("key", "first.*"), "jaccard-distinct")
 
     def texts_of(keys: DataFrame) -> DataFrame:
-        rows = distinct.join(keys, "key").select("key", F.col("rank.row").alias(_ROW))
-        return placed.select(_ROW, F.col(text_col).alias("text")).join(rows, _ROW).select("key", "text")
+        rows = distinct.join(keys, "key", "left_semi").select("key", F.col("rank.row").alias(_ROW))
+        texts = packed_texts(placed.select(_ROW, F.col(text_col).alias("text")))
+        return texts.join(rows, _ROW).select("key", "data", "n")
 
-    found = components(linked(distinct, texts_of, shingle, least))
+    found = components(linked(distinct, texts_of, shingle, least, partners))
     rooted = distinct.join(found, F.col("key") == F.col("node"), "left").select("key", "rank", F.coalesce("root", "key").alias("root"))
     rooted = stored(rooted, "jaccard-roots")
     firsts = rooted.groupBy("root").agg(F.min("rank").alias("first"))
     named = rooted.join(firsts, "root").select("key", F.col("first.row").alias("kept"))
-    later = all_prints.join(named, "key").filter(F.col("rank.row") != F.col("kept"))
+    later = all_prints.select("rank", "key").join(named, "key").filter(F.col("rank.row") != F.col("kept"))
     gone = stored(later.select(F.col("rank.row").alias(_ROW)), "jaccard-later")
     return placed.join(gone, _ROW, "left_anti").select(*docs.columns)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelstats.shared import numbered, stored
+from panelstats.shared import stored
 
 from .components import components
 from .text import batch, lower_words
@@ -97,19 +97,22 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def lower_nodes(distinct: DataFrame, distance: int = DISTANCE, leaf: int = LEAF) -> DataFrame:
+def lower_nodes(distinct: DataFrame, distance: int = DISTANCE, leaf: int = LEAF, on: list[int] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Lower nodes of all upper nodes that have two fingerprints: mask, pattern, node, shared, bits, fps.
 
-    ``shared`` has the bits in which all fingerprints of a node agree, ``bits`` their values.
+    ``shared`` has the bits in which all fingerprints of a node agree, ``bits`` their values.  The masks are ``on``, by
+    default those that miss no link; ``extra`` columns of longs are packed beside the fingerprints.
     """
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(_signed(m)).alias("on")) for i, m in enumerate(masks(distance)))))
-    rows = distinct.select("fp", each.alias("m")).select(
-        F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.on")).alias("pattern"), "fp", gray_rank(F.col("fp")).alias("rank")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(_signed(m)).alias("on")) for i, m in enumerate(on or masks(distance)))))
+    rows = distinct.select("fp", *extra, each.alias("m")).select(
+        F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.on")).alias("pattern"), "fp", gray_rank(F.col("fp")).alias("rank"), *extra
     )
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "mask", "pattern", "rank").sortWithinPartitions("mask", "pattern", "rank")
+    ordered = ordered.select("mask", "pattern", "fp", *extra)
     schema = pa.schema(
         [("mask", pa.int32()), ("pattern", pa.int64()), ("node", pa.int64()), ("shared", pa.int64()), ("bits", pa.int64()), ("fps", pa.binary())]
+        + [(f"{name}s", pa.binary()) for name in extra]
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +121,7 @@ def lower_nodes(distinct: DataFrame, distance: int = DISTANCE, leaf: int = LEAF)
         made = TaskContext.get().partitionId() << 40
         held, first = None, True
 
-        def nodes(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, last: bool) -> pa.RecordBatch:
+        def nodes(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, *others: np.ndarray, last: bool) -> pa.RecordBatch:
             """Runs of one upper node; lone fingerprints go, except at the partition's ends."""
             nonlocal made, first
             new = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])) + 1
@@ -132,13 +135,14 @@ def lower_nodes(distinct: DataFrame, distance: int = DISTANCE, leaf: int = LEAF)
                 for i in range(a, b, leaf):
                     some = fp[i : min(i + leaf, b)]
                     every, any_ = np.bitwise_and.reduce(some), np.bitwise_or.reduce(some)
-                    for name, value in zip(schema.names, (mask[a], pattern[a], made, ~(every ^ any_), every, some.tobytes()), strict=True):
+                    packed = (x[i : i + len(some)].tobytes() for x in others)
+                    for name, value in zip(schema.names, (mask[a], pattern[a], made, ~(every ^ any_), every, some.tobytes(), *packed), strict=True):
                         out[name].append(value)
                     made += 1
             return batch(schema, **out)
 
         for given in batches:
-            now = [c.to_numpy() for c in given.columns[:3]]
+            now = [c.to_numpy() for c in given.columns]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
@@ -155,7 +159,18 @@ def lower_nodes(distinct: DataFrame, distance: int = DISTANCE, leaf: int = LEAF)
         if held is not None and len(held[0]):
             yield nodes(*held, last=True)
 
-    return ordered.mapInArrow(cut, "mask int, pattern long, node long, shared long, bits long, fps binary")
+    return ordered.mapInArrow(cut, ", ".join(["mask int, pattern long, node long, shared long, bits long, fps binary", *(f"{n}s binary" for n in extra)]))
+
+
+def node_pairs(nodes: DataFrame, distance: int, columns: list[str]) -> DataFrame:
+    """Pairs of lower nodes of one upper node that may hold a link, each pair once; the second one's columns end in _2."""
+    names = ["node", "shared", "bits", *columns]
+    left = nodes.select("mask", "pattern", *names)
+    right = nodes.select("mask", "pattern", *(F.col(n).alias(f"{n}_2") for n in names))
+    apart = F.bit_count(
+        F.col("bits").bitwiseXOR(F.col("bits_2")).bitwiseAND(F.col("shared")).bitwiseAND(F.col("shared_2"))
+    )
+    return left.join(right, ["mask", "pattern"]).filter((F.col("node") <= F.col("node_2")) & (apart <= distance))
 
 
 def _stars(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,14 +197,7 @@ def _stars(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.
 def links(distinct: DataFrame, distance: int = DISTANCE, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) whose components are those of all links between distinct fingerprints (column fp)."""
     nodes = stored(lower_nodes(distinct, distance, leaf), "simhash-nodes")
-    left = nodes.select("mask", "pattern", "node", "shared", "bits", "fps")
-    right = nodes.select(
-        "mask", "pattern", *(F.col(n).alias(f"{n}_2") for n in ("node", "shared", "bits", "fps"))
-    )
-    apart = F.bit_count(
-        F.col("bits").bitwiseXOR(F.col("bits_2")).bitwiseAND(F.col("shared")).bitwiseAND(F.col("shared_2"))
-    )
-    pairs = left.join(right, ["mask", "pattern"]).filter((F.col("node") <= F.col("node_2")) & (apart <= distance))
+    pairs = node_pairs(nodes, distance, ["fps"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,18 +242,3 @@ def near_duplicates(
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
 
-
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` (a stored table) without all but the first of each class.
-
-    The first has the least id (null ids last); of rows with equal ids, the one that comes first in the table.
-    """
-    row = "_llm_row"
-    placed = numbered(docs, row)
-    rank = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    ranked = placed.select(rank.alias("rank"), F.col(text_col).alias("text"))
-    prints = stored(fingerprints(ranked, "rank", "text", shingle), "simhash-prints")
-    named = classes(prints, distance)
-    later = prints.join(named, "fp").filter(F.col("doc_id.row") != F.col("component_id.row"))
-    gone = stored(later.select(F.col("doc_id.row").alias(row)), "simhash-later")
-    return placed.join(gone, row, "left_anti").select(*docs.columns)

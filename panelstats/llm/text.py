@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Words kept by a cache at most; beyond it the cache starts anew.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 1 << 16
 
 _NAMES = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
 

@@ -33,28 +33,70 @@ def plain_firsts(rows):
     return {find(i) for i in ids}
 
 
-def near_copies(seed, groups, copies, words=160):
+def near_copies(seed, groups, copies, changes=5, words=160):
     rng, rows = random.Random(seed), []
     for _ in range(groups):
         base = [f"w{rng.randrange(5000)}" for _ in range(words)]
         rows.append(" ".join(base))
         for _ in range(copies):
             some = list(base)
-            for at in rng.sample(range(words), rng.randint(1, 5)):
+            for at in rng.sample(range(words), rng.randint(1, changes)):
                 some[at] = f"x{rng.randrange(10**6)}"
             rows.append(" ".join(some))
     rng.shuffle(rows)
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("pairs_open", [50, 0])
-def test_stage_links_at_four_fifths_of_five_word_shingles(spark, written, monkeypatch, pairs_open):
-    """Copies with one to five changed words of 160, many of them far apart as fingerprints; 0 takes rounds of stars first."""
-    monkeypatch.setattr(jaccard, "OPEN", pairs_open)
-    rows = near_copies(1, 8, 5)
+@pytest.mark.parametrize("partners", [32, 1])
+def test_stage_links_at_four_fifths_of_five_word_shingles(spark, written, partners):
+    """Copies with one to three changed words of 160, many of them far apart as fingerprints; few partners take rounds."""
+    rows = near_copies(1, 8, 5, 3)
     docs = written(spark.createDataFrame(rows, "doc_id long, text string"))
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    kept = {r.doc_id for r in jaccard.first_of_each(docs, partners=partners).collect()}
     assert kept == plain_firsts(rows) and len(kept) < len(rows) // 2
+    if partners > 1:
+        assert kept == {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+
+
+def test_recall_at_the_threshold(spark, written):
+    """Pairs of a similarity from 0.8 to 0.83: at least nine tenths are found; no pair under 0.8 is linked."""
+    rng, rows, want = random.Random(3), [], 0
+    for g in range(400):
+        base = [f"w{rng.randrange(20000)}" for _ in range(200)]
+        copy, at = list(base), rng.sample(range(4, 196, 9), 4 if g % 4 else 6)
+        for i in at:
+            copy[i] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        a, b = plain_set(rows[-2][1]), plain_set(rows[-1][1])
+        share = Fraction(len(a & b), len(a | b))
+        assert share < Fraction(4, 5) or Fraction(4, 5) <= share <= Fraction(83, 100)
+        want += share >= Fraction(4, 5)
+    kept = {r.doc_id for r in jaccard.first_of_each(written(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert all(i % 2 and (i // 2) % 4 for i in gone)
+    assert 0.9 * want <= len(gone) <= want == 300
+
+
+def test_a_large_group_of_near_copies(spark, written):
+    """Every copy differs from all others: one class, without a check of all pairs."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, " ".join([*base, f"n{i}"])) for i in range(1500)] + [(9000 + i, f"other text {i} " * 9 + str(i)) for i in range(50)]
+    kept = {r.doc_id for r in jaccard.first_of_each(written(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert kept & set(range(1500)) == {0}
+
+
+def test_clashing_names_are_kept(odd_docs, written):
+    docs = written(odd_docs.selectExpr("*", "doc_id as key", "text as data", "1 as mins", "2 as n", "3 as a"), 1)
+    kept = jaccard.first_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == 7
+
+
+def test_expected_recall_and_masks():
+    assert jaccard.expected_recall(12, 8) < jaccard.expected_recall(12, 40) < jaccard.expected_recall(12, 40, least=Fraction(9, 10))
+    for n in (10, 10**6, 10**9):
+        on = jaccard.candidate_masks(n)
+        assert len({m.bit_count() for m in on}) == 1 and jaccard.expected_recall(on[0].bit_count(), len(on)) >= jaccard.RECALL
 
 
 def test_odd_rows(odd_docs, written):

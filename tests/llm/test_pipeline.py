@@ -13,9 +13,9 @@ from panelstats.llm import mixing, toxicity
 from panelstats.llm.queries import ORACLES, QUERIES, tokenizer_path
 from panelstats.shared import stored
 
+from .test_jaccard import plain_firsts
 from .test_mixing import sql_rows
 from .test_packing import check_rows
-from .test_simhash import plain_classes, plain_fingerprint
 from .test_substring import plain
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -38,8 +38,7 @@ def test_stages_against_brute_force(spark, documents):
     assert sorted(left) == sorted(r for r in given if r.doc_id not in rejected)
 
     given, left = kept["simhash_near_dedup"]
-    ids = [r.doc_id for r in given]
-    firsts = set(plain_classes(ids, [plain_fingerprint(r.text) for r in given]))
+    firsts = plain_firsts([(r.doc_id, r.text) for r in given])
     assert sorted(left) == sorted(r for r in given if r.doc_id in firsts)
 
     given, left = kept["substring_dedup"]
@@ -94,7 +93,7 @@ def test_planted_cases(spark, written):
 
 def test_registry():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLES) <= set(__spark_entry__.oracle_sql()) <= names
 
 

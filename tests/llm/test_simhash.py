@@ -105,11 +105,3 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(80)}}
 
-
-def test_first_of_each(odd_docs, written):
-    kept = simhash.first_of_each(written(odd_docs, 1))
-    assert kept.columns == odd_docs.columns
-    texts = sorted((str(r.doc_id), (r.text or "")[:12]) for r in kept.collect())
-    assert ("1", "Alpha beta g") in texts and ("2", "Alpha beta g") not in texts
-    assert [t for t in texts if not t[1].strip()] == [("3", "")]
-    assert len(texts) == 7
