@@ -7,8 +7,8 @@ a wide distance can't be covered by masks that miss nothing, so random masks of
 pair at ``SIMILAR`` asks for to meet with a probability of ``RECALL``; they have more bits for more texts, which
 keeps upper nodes small.  Every link is checked on the sets themselves.
 
-Equal sets are one row of all that follows.  First every text is checked against its nearest candidate, which links
-most of a group of copies.  Then texts that have candidates are indexed again, and each is checked against the next
+Equal sets are one row of all that follows.  First every text is checked against two of its candidates: the nearest
+one, and the one whose key is the least, which is the same one for most of a large group of copies.  Then texts that have candidates are indexed again, and each is checked against the next
 ``PARTNERS`` of them that it isn't linked with yet, the nearest first, until there are none.  Sketches of 64 bytes
 (min-hashes) sort out pairs far under the threshold before any text travels.
 
@@ -150,13 +150,14 @@ def _longs(column: pa.Array, kind: type = np.int64) -> list[np.ndarray]:
 
 
 def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE) -> DataFrame:
-    """Each key with a candidate: key, and the nearest one (d, partner); keys are (key, fp)."""
+    """Each key that has candidates, with the nearest one and with the least one; keys are (key, fp)."""
     nodes = stored(lower_nodes(keys, distance, on=on, extra=("key",)), "jaccard-nodes")
-    schema = pa.schema([("key", pa.int64()), ("d", pa.int32()), ("partner", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("d", pa.int32()), ("partner", pa.int64()), ("least", pa.int64())])
+    last = np.iinfo(np.int64).max
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, ...]] = []
             same = (given.column(0).to_numpy() == given.column(1).to_numpy()).tolist()
             for alike, x, y, kx, ky in zip(same, *(_longs(given.column(i), t) for i, t in ((2, np.uint64), (3, np.uint64), (4, np.int64), (5, np.int64))), strict=True):
                 if alike and len(x) == 1:
@@ -167,16 +168,18 @@ def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE)
                 for own, other, far in ((kx, ky, apart), *(() if alike else ((ky, kx, apart.T),))):
                     at = far.argmin(axis=1)
                     d = far[np.arange(len(own)), at]
-                    use = d <= distance
-                    if use.any():
-                        found.append((own[use], d[use], other[at[use]]))
+                    use = np.flatnonzero(d <= distance)
+                    if len(use):
+                        least = np.where(far[use] <= distance, other[None, :], last).min(axis=1)
+                        found.append((own[use], d[use], other[at[use]], least))
             if found:
-                key, d, partner = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield batch(schema, key=key, d=d.astype(np.int32), partner=partner)
+                key, d, partner, least = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield batch(schema, key=key, d=d.astype(np.int32), partner=partner, least=least)
 
     pairs = node_pairs(nodes, distance, ["fps", "keys"]).select("node", "node_2", "fps", "fps_2", "keys", "keys_2")
-    near = pairs.mapInArrow(compare, "key long, d int, partner long")
-    return near.groupBy("key").agg(F.min(F.struct("d", "partner")).alias("best")).select("key", "best.d", "best.partner")
+    near = pairs.mapInArrow(compare, "key long, d int, partner long, least long")
+    best = near.groupBy("key").agg(F.min(F.struct("d", "partner")).alias("best"), F.min("least").alias("least"))
+    return best.select("key", F.col("best.partner").alias("nearest"), "least")
 
 
 def next_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE, partners: int = PARTNERS) -> DataFrame:
@@ -272,7 +275,8 @@ def linked(distinct: DataFrame, texts_of, shingle: int = SHINGLE, least: Fractio
     on = candidate_masks(distinct.count(), recall, DISTANCE, least)
     nearest = stored(nearest_candidates(distinct.select("key", "fp"), on), "jaccard-nearest")
     texts = stored(texts_of(nearest.select("key")), "jaccard-texts")
-    pairs = nearest.select(F.greatest("key", "partner").alias("a"), F.least("key", "partner").alias("b")).distinct()
+    both = nearest.select("key", F.explode(F.array("nearest", "least")).alias("partner"))
+    pairs = both.select(F.greatest("key", "partner").alias("a"), F.least("key", "partner").alias("b")).distinct()
     edges = stored(verified(pairs, distinct, texts, shingle, least), "jaccard-links")
     open_keys = nearest.select("key").join(distinct.select("key", "fp"), "key")
     cursors = None

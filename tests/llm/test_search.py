@@ -73,7 +73,7 @@ def test_terms():
     assert search.terms_of(None) == search.terms_of("") == search.terms_of(" .,") == []
 
 
-@pytest.mark.parametrize("best", [1, 7, 50, 1000])
+@pytest.mark.parametrize("best", [7, 1000])
 def test_against_plain_python(spark, written, best):
     docs, items = corpus(1)
     assert searched(*frames(spark, written, docs, items), best=best) == plain(docs, items, best)
