@@ -44,7 +44,7 @@ BITS, MOST_BITS, CROWD = 12, 16, 6
 #: Bytes of a sketch, and the share of them that a pair worth checking has in common.
 MINS, LIKELY = 64, 0.6
 #: Candidates that a text is checked against in a round; shingles hashed at a time.
-PARTNERS, PART = 32, 200_000
+PARTNERS, PART = 1024, 200_000
 _ROW = "_llm_row"
 _FAR = 255
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
