@@ -44,7 +44,7 @@ VIEWS_AND_REPORTS = [
 
 
 #: Deliveries, pairs, calendars and long series, as registered.
-OTHERS = ["replace_keys", "return_correlation", "densify", "tick_rolling", "tick_star", "staging_metrics"]
+OTHERS = ["replace_keys", "return_correlation", "correlated_pairs", "densify", "tick_rolling", "tick_star", "staging_metrics"]
 
 
 def discard(df) -> None:
@@ -79,6 +79,8 @@ def main() -> None:
     times["write_star"] = second_run(lambda: house.write_star(z.staging, z.attrs))
     cut = segments.split(z.staging, spec, z.scratch("bench"))
     times["rolling_segmented"] = second_run(lambda: discard(segments.segmented_rolling(cut)))
+    hashed, arriving = z.refreshed, market.delivery(z.raw, z.attrs)
+    times["refresh"] = second_run(lambda: hashed.refresh(arriving, hashed.path("raw"), z.attrs))
     for name in (*VIEWS_AND_REPORTS, *OTHERS):
         build = QUERIES[name][0]
         times[name] = second_run(lambda: discard(build(z)))

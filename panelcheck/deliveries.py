@@ -84,7 +84,7 @@ summary("risk_return", _DAYS + _RISK, "new_staging", "attrs")(
 summary("risk_return_last", _DAYS + _RISK.replace("max(close_norm)", "arg_max(close_norm, date)"), "new_staging", "attrs")(
     lambda z: summaries.risk_return(_of(z, "months"), _dim(z), SPEC, total="last")
 )
-summary("return_histogram", _HISTOGRAM, "new_prices", "new_dim")(
+summary("return_histogram", _HISTOGRAM, "new_staging", "attrs")(
     lambda z: summaries.return_histogram(_of(z, "histogram"), _dim(z), SPEC)
 )
 summary(

@@ -191,14 +191,13 @@ def _write_dim(z: Zones) -> DataFrame:
 
 
 _HISTOGRAM = """
-    select p.ticker, category, round(daily_return * 100 / 0.5) * 0.5 + cast(0 as double) return_bucket,
-           count(*) frequency
-    from prices p join dim d on p.ticker = d.ticker
-    where daily_return is not null group by 1, 2, 3
+    select ticker, category, nth * 0.5 + cast(0 as double) return_bucket, count(*) frequency
+    from (select ticker, round(200 * daily_return) nth from staging where daily_return is not null)
+    join (select ticker, category from attrs) using (ticker) group by all
 """
 
 
-@query("export_csv", sql(_HISTOGRAM, "prices", "dim"))
+@query("export_csv", sql(_HISTOGRAM, "staging", "attrs"))
 def _export_csv(z: Zones) -> DataFrame:
     view = views.normalized_prices(z.prices, z.dim, SPEC, ordered=False)
     histogram, path = reports.return_histogram(view, spec=SPEC), z.scratch("csv")
@@ -683,12 +682,13 @@ query(
     "v_prices_normalized",
     sql(
         f"""
-        select date, p.ticker, etf_name, provider, category, "close", {r('close_norm', 6)},
-               {r('cumulative_return', 6)}, {r('daily_return', 6)}, day_direction, volume
-        from prices p join dim d on p.ticker = d.ticker
+        select date, ticker, etf_name, provider, category, "close", volume, {r('close_norm', 6)}, {r('daily_return', 6)},
+               {r('close_norm / 100 - 1', 6, 'cumulative_return')},
+               case coalesce(sign(daily_return), 0) when 1 then 'positive' when -1 then 'negative' else 'flat' end day_direction
+        from (select * exclude (etf_name) from staging) join (select ticker, etf_name, provider, category from attrs) using (ticker)
         """,
-        "prices",
-        "dim",
+        "staging",
+        "attrs",
     ),
 )(lambda z: rounded(views.normalized_prices(z.prices, z.dim, SPEC)))
 query("v_category_performance", sql(_PERFORMANCE, "staging", "attrs"))(
@@ -760,30 +760,32 @@ query(
 query(
     "v_drawdown_analysis",
     sql(
-        f"""
-        select r.date, r.ticker, etf_name, category, {r('drawdown * 100', 2, 'drawdown_pct')},
-               {r('volatility_30_annualized', 4, 'volatility_ann')}, {r('sma_20', 9)}, {r('sma_252', 9)},
-               {_TREND}
-        from rolling r join prices p on r.ticker = p.ticker and r.date = p.date
-        join dim d on r.ticker = d.ticker
+        _DAYS
+        + f"""
+        select date, ticker, etf_name, category, {r('100 * down', 2, 'drawdown_pct')}, {r('vol', 4, 'volatility_ann')},
+               {r('sma_20', 9)}, {r('sma_252', 9)}, {_TREND}
+        from days join (
+          select ticker, date, "close", avg("close") over (w rows between 19 preceding and current row) sma_20,
+                 avg("close") over (w rows between 251 preceding and current row) sma_252
+          from staging window w as (partition by ticker order by date)) using (ticker, date)
         """,
-        "prices",
-        "rolling",
-        "dim",
+        "staging",
+        "attrs",
     ),
 )(lambda z: rounded(views.drawdown_analysis(z.prices, z.rolling, z.dim, SPEC), **SMAS))
 query(
     "v_anomalies_detail",
     sql(
         f"""
-        select date, a.ticker, etf_name, provider, category,
-               {r('daily_return * 100', 2, 'daily_return_pct')}, {r('return_zscore', 2)}, anomaly_type,
-               anomaly_severity, volume, {r('volume_zscore', 2)},
-               coalesce(abs(volume_zscore) > 2, false) high_volume_anomaly
-        from anomalies a join dim d on a.ticker = d.ticker
+        select date, ticker, etf_name, provider, category, volume, {r('100 * daily_return', 2, 'daily_return_pct')},
+               {r('return_zscore', 2)}, {r('volume_zscore', 2)}, if(daily_return > 0, 'spike_up', 'spike_down') anomaly_type,
+               list_extract(['moderate', 'high', 'extreme'], 1 + cast(size > 3 as integer) + cast(size > 4 as integer)) anomaly_severity,
+               ifnull(volume_zscore not between -2 and 2, false) high_volume_anomaly
+        from (select * exclude (etf_name), abs(return_zscore) size from staging)
+        join (select ticker, etf_name, provider, category from attrs) using (ticker) where size > 2.5
         """,
-        "anomalies",
-        "dim",
+        "staging",
+        "attrs",
     ),
 )(lambda z: views.anomaly_detail(z.anomalies, z.dim, SPEC))
 
@@ -864,7 +866,7 @@ query(
         "dim",
     ),
 )(lambda z: reports.anomalies_by_category(z.anomalies, z.dim, SPEC))
-query("return_histogram", sql(_HISTOGRAM, "prices", "dim"))(
+query("return_histogram", sql(_HISTOGRAM, "staging", "attrs"))(
     lambda z: reports.instrument_histogram(z.prices, z.dim, spec=SPEC)
 )
 query(
@@ -874,8 +876,8 @@ query(
         select category, return_bucket, cast(sum(frequency) as bigint) frequency
         from ({_HISTOGRAM}) group by 1, 2
         """,
-        "prices",
-        "dim",
+        "staging",
+        "attrs",
     ),
 )(lambda z: reports.category_histogram(reports.return_histogram(_view(z), spec=SPEC), SPEC))
 query(

@@ -101,10 +101,17 @@ def return_sketches(returns: DataFrame, bands: int, bits: int, spec: PanelSpec =
     return rows.groupBy("key").applyInPandas(sketch, f"key {rows.schema['key'].dataType.simpleString()}, days long, codes array<int>")
 
 
-def candidate_pairs(sketches: DataFrame, overlap: float = 0.9) -> DataFrame:
+def most_signs_apart(threshold: float, overlap: float, signs: int) -> int:
+    """Signs of all bands that a pair at the threshold differs in at most, up to five deviations of chance."""
+    differ = math.acos(threshold * overlap) / math.pi
+    return math.ceil(signs * differ + 5 * math.sqrt(signs * differ * (1 - differ)))
+
+
+def candidate_pairs(sketches: DataFrame, overlap: float = 0.9, apart: int | None = None) -> DataFrame:
     """key_a, key_b and the days of the longer one, of series that share a band; every pair once.
 
-    A pair is taken in the first band it shares, so it needs no further exchange.
+    A pair is taken in the first band it shares, so it needs no further exchange, and only if at most ``apart`` signs
+    of all bands differ.
     """
     each = sketches.select("key", "days", "codes", F.posexplode("codes").alias("band", "code"))
     a, b = (each.select("band", "code", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "days", "codes")]) for side in "ab")
@@ -112,6 +119,9 @@ def candidate_pairs(sketches: DataFrame, overlap: float = 0.9) -> DataFrame:
     long_enough = F.least("days_a", "days_b") >= F.greatest("days_a", "days_b") * overlap
     met = a.join(b, ["band", "code"]).filter((F.col("key_a") < F.col("key_b")) & long_enough)
     firsts = met.filter(F.array_position(same, True) == F.col("band") + 1)
+    if apart is not None:
+        differ = F.zip_with("codes_a", "codes_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        firsts = firsts.filter(F.aggregate(differ, F.lit(0), lambda n, d: n + d) <= apart)
     return firsts.select("key_a", "key_b", F.greatest("days_a", "days_b").alias("most_days"))
 
 
@@ -128,15 +138,16 @@ def correlated_pairs(
 
     Both series have ``overlap`` of the longer one's days in common.  Candidates are series that share a band of
     signs of random projections; a pair at the threshold is one with the probability ``recall``, one above it
-    with a greater probability.  Bands get longer with the number of series, so that unrelated ones rarely meet.
-    Every candidate is checked on the returns.  Series whose returns don't vary correlate with none.
+    with a greater probability.  Bands get longer with the number of series, so that unrelated ones rarely meet, and
+    the signs of all bands sort out those that do.  Every candidate left is checked on the returns.  Series whose returns don't vary correlate with none.
     """
     if not 0 < threshold <= 1 or not 0 < overlap <= 1:
         raise ValueError("threshold and overlap are positive shares")
     n = returns.select(spec.key).distinct().count()
     bits = min(30, max(8, math.ceil(math.log2(max(n, 2)))))
-    sketches = stored(return_sketches(returns, bands_needed(threshold, overlap, bits, recall), bits, spec, ret), "sketches")
-    pairs = stored(candidate_pairs(sketches, overlap), "candidate-pairs")
+    bands = bands_needed(threshold, overlap, bits, recall)
+    sketches = stored(return_sketches(returns, bands, bits, spec, ret), "sketches")
+    pairs = stored(candidate_pairs(sketches, overlap, most_signs_apart(threshold, overlap, bands * bits)), "candidate-pairs")
     checked = return_correlation(returns, pairs, spec, ret, slices).join(pairs, ["key_a", "key_b"])
     enough = (F.col("days") >= F.col("most_days") * overlap) & (F.col("correlation") >= threshold)
     return checked.filter(enough).drop("most_days")
