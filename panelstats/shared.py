@@ -39,6 +39,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files of a table whose ranks are sent to every task: 16 bytes each.
+FILES = 1 << 20
 #: Steps of a plan that neither multiply rows nor move them.
 _PLAIN = {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"}
 
@@ -58,7 +60,8 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows of a stored table with a number of their own in column ``name``, the same in every scan.
 
     The number has the rank of the row's file by its path, and the row's place in the file: how a scan is split
-    among executors doesn't matter.  Frames that are more than a scan are written once with their numbers.
+    among executors doesn't matter.  Ranks meet rows by a hash of the path.  Frames that are more than a scan are written
+    once with their numbers.
     """
     path, place = f"{name}_path", f"{name}_place"
     if not _is_scan(docs):
@@ -68,5 +71,10 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     except AnalysisException:  # files of a kind that doesn't number its rows
         return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     rank = F.row_number().over(Window.orderBy(path)).cast("long")
-    files = rows.select(path).distinct().select(path, rank.alias(name))  # a row for each file, as the driver lists them
-    return rows.join(files, path).select(*docs.columns, (F.shiftleft(name, 40) + F.col(place)).alias(name))
+    hashed = F.xxhash64(path).alias(path)
+    files = [tuple(r) for r in rows.select(path).distinct().select(hashed, rank.alias(name)).collect()]  # as the driver lists them
+    if len({h for h, _ in files}) < len(files):  # two paths with one hash
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    ranks = docs.sparkSession.createDataFrame(files, f"`{path}` long, `{name}` long")
+    ranks = F.broadcast(ranks) if len(files) <= FILES else ranks
+    return rows.withColumn(path, hashed).join(ranks, path).select(*docs.columns, (F.shiftleft(name, 40) + F.col(place)).alias(name))
