@@ -7,8 +7,9 @@ a wide distance can't be covered by masks that miss nothing, so random masks of
 pair at ``SIMILAR`` asks for to meet with a probability of ``RECALL``; they have more bits for more texts, which
 keeps upper nodes small.  Every link is checked on the sets themselves.
 
-Equal sets are one row of all that follows.  First every text is checked against two of its candidates: the nearest
-one, and the one whose key is the least, which is the same one for most of a large group of copies.  Then texts that have candidates are indexed again, and each is checked against the next
+Equal sets are one row of all that follows.  First every text is checked against three of its candidates: the nearest
+one, the one whose key is the least, and the one that has most candidates itself; the last two are the same ones for
+most of a large group of copies, and the last is what its copies were made of rather than one of them.  Then texts that have candidates are indexed again, and each is checked against the next
 ``PARTNERS`` of them that it isn't linked with yet, the nearest first, until there are none.  Sketches of 64 bytes
 (min-hashes) sort out pairs far under the threshold before any text travels.
 
@@ -150,9 +151,9 @@ def _longs(column: pa.Array, kind: type = np.int64) -> list[np.ndarray]:
 
 
 def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE) -> DataFrame:
-    """Each key that has candidates, with the nearest one and with the least one; keys are (key, fp)."""
+    """Each key that has candidates: the nearest one, the least one, and how often candidates were met; keys are (key, fp)."""
     nodes = stored(lower_nodes(keys, distance, on=on, extra=("key",)), "jaccard-nodes")
-    schema = pa.schema([("key", pa.int64()), ("d", pa.int32()), ("partner", pa.int64()), ("least", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("d", pa.int32()), ("partner", pa.int64()), ("least", pa.int64()), ("degree", pa.int64())])
     last = np.iinfo(np.int64).max
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,16 +171,48 @@ def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE)
                     d = far[np.arange(len(own)), at]
                     use = np.flatnonzero(d <= distance)
                     if len(use):
-                        least = np.where(far[use] <= distance, other[None, :], last).min(axis=1)
-                        found.append((own[use], d[use], other[at[use]], least))
+                        near = far[use] <= distance
+                        least = np.where(near, other[None, :], last).min(axis=1)
+                        found.append((own[use], d[use], other[at[use]], least, near.sum(axis=1)))
             if found:
-                key, d, partner, least = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield batch(schema, key=key, d=d.astype(np.int32), partner=partner, least=least)
+                key, d, partner, least, degree = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield batch(schema, key=key, d=d.astype(np.int32), partner=partner, least=least, degree=degree)
 
     pairs = node_pairs(nodes, distance, ["fps", "keys"]).select("node", "node_2", "fps", "fps_2", "keys", "keys_2")
-    near = pairs.mapInArrow(compare, "key long, d int, partner long, least long")
-    best = near.groupBy("key").agg(F.min(F.struct("d", "partner")).alias("best"), F.min("least").alias("least"))
-    return best.select("key", F.col("best.partner").alias("nearest"), "least")
+    near = pairs.mapInArrow(compare, "key long, d int, partner long, least long, degree long")
+    best = near.groupBy("key").agg(F.min(F.struct("d", "partner")).alias("best"), F.min("least").alias("least"), F.sum("degree").alias("degree"))
+    return best.select("key", F.col("best.partner").alias("nearest"), "least", "degree")
+
+
+def hub_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE) -> DataFrame:
+    """Each key's candidate of the greatest degree: key, hub; keys are (key, fp, degree)."""
+    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key", "degree")), "jaccard-nodes")
+    schema = pa.schema([("key", pa.int64()), ("degree", pa.int64()), ("hub", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            found: list[tuple[np.ndarray, ...]] = []
+            same = (given.column(0).to_numpy() == given.column(1).to_numpy()).tolist()
+            packed = (_longs(given.column(i), t) for i, t in enumerate((np.uint64,) * 2 + (np.int64,) * 4, 2))
+            for alike, x, y, kx, ky, gx, gy in zip(same, *packed, strict=True):
+                near = np.bitwise_count(x[:, None] ^ y[None, :]) <= distance
+                if alike:
+                    np.fill_diagonal(near, False)
+                for own, other, degree, met in ((kx, ky, gy, near), *(() if alike else ((ky, kx, gx, near.T),))):
+                    some = np.where(met, degree[None, :], -1)
+                    at = some.argmax(axis=1)
+                    most = some[np.arange(len(own)), at]
+                    use = most >= 0
+                    if use.any():
+                        found.append((own[use], most[use], other[at[use]]))
+            if found:
+                key, degree, hub = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield batch(schema, key=key, degree=degree, hub=hub)
+
+    columns = ["fps", "keys", "degrees"]
+    pairs = node_pairs(nodes, distance, columns).select("node", "node_2", *(f"{c}{end}" for c in columns for end in ("", "_2")))
+    met = pairs.mapInArrow(compare, "key long, degree long, hub long")
+    return met.groupBy("key").agg(F.max(F.struct("degree", "hub")).alias("best")).select("key", "best.hub")
 
 
 def next_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE, partners: int = PARTNERS) -> DataFrame:
@@ -275,10 +308,11 @@ def linked(distinct: DataFrame, texts_of, shingle: int = SHINGLE, least: Fractio
     on = candidate_masks(distinct.count(), recall, DISTANCE, least)
     nearest = stored(nearest_candidates(distinct.select("key", "fp"), on), "jaccard-nearest")
     texts = stored(texts_of(nearest.select("key")), "jaccard-texts")
-    both = nearest.select("key", F.explode(F.array("nearest", "least")).alias("partner"))
+    open_keys = stored(nearest.select("key", "degree").join(distinct.select("key", "fp"), "key"), "jaccard-open")
+    first = nearest.join(hub_candidates(open_keys.select("key", "fp", "degree"), on), "key", "left")
+    both = first.select("key", F.explode(F.array("nearest", "least", F.coalesce("hub", "nearest"))).alias("partner"))
     pairs = both.select(F.greatest("key", "partner").alias("a"), F.least("key", "partner").alias("b")).distinct()
     edges = stored(verified(pairs, distinct, texts, shingle, least), "jaccard-links")
-    open_keys = nearest.select("key").join(distinct.select("key", "fp"), "key")
     cursors = None
     while True:
         roots = components(edges)

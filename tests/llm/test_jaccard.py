@@ -104,3 +104,17 @@ def test_odd_rows(odd_docs, written):
 def test_fewer_than_five_words_are_one_shingle(spark, written):
     docs = written(spark.createDataFrame([(1, "a b c"), (2, "A  b\nc"), (3, "a b"), (4, "a b c d")], "doc_id long, text string"))
     assert sorted(r.doc_id for r in jaccard.first_of_each(docs).collect()) == [1, 3, 4]
+
+
+def test_copies_unlike_each_other_meet_at_their_original(spark, written):
+    """Copies at 0.81 to the original are under 0.8 to each other; the original is their hub."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(20000)}" for _ in range(200)]
+    rows = [(500, " ".join(base))]
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(4, 196, 9), 4):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    kept = {r.doc_id for r in jaccard.first_of_each(written(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert 0 in kept and len(kept) <= 0.1 * len(rows)
