@@ -92,3 +92,43 @@ def test_no_cross_join(spark, plan_of):
     sketches = distribution.return_sketches(frame(spark, made(3, 5, 2, 60)), 20, 8)
     plan = plan_of(distribution.candidate_pairs(sketches))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_blocks_of_a_large_group_lose_no_pair(spark, monkeypatch):
+    """Buckets cut into blocks, and pairs checked block by block, give all pairs of one large group."""
+    for name, size in (("MET", 8), ("BLOCK", 5), ("GROUP", 40)):
+        monkeypatch.setattr(distribution, name, size)
+    series = made(4, 2, 24, 120, 0.2)
+    got = distribution.correlated_pairs(frame(spark, series), 0.8, SPEC).collect()
+    want = plain(series, 0.8, 0.9)
+    assert len(want) > 500 and sorted((r.key_a, r.key_b, r.days, round(r.correlation, 9)) for r in got) == want
+
+
+def test_pairs_of_a_block_as_one_by_one():
+    """Repeated days, few common days, and returns that are constant over the common days."""
+    rng = np.random.default_rng(5)
+    days = np.arange(60, dtype="<i4")
+    twice = (np.r_[days, 3, 3], rng.normal(1, 0.01, 62))
+    flat = (days, np.where(days < 50, 0.3, rng.normal(0, 1, 60)))
+    series = [(days, rng.normal(1, 0.01, 60)), twice, flat, (days[:50], rng.normal(0, 1, 50)), (days[49:51], np.array([1.0, 2.0])), (days[:1], np.ones(1))]
+    a, b = (x.ravel() for x in np.indices((6, 6)))
+    n, found = distribution._correlations(series, series, a, b)
+    for i, j, k, c in zip(a, b, n, found, strict=True):
+        x, y = zip(*[(v, w) for d, v in zip(*series[i], strict=True) for e, w in zip(*series[j], strict=True) if d == e], strict=True) if k else ((), ())
+        assert k == len(x)
+        if k > 1 and len(set(x)) > 1 and len(set(y)) > 1:
+            assert c == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+        else:
+            assert np.isnan(c)
+
+
+def test_bands_stay_few_for_many_series(spark, monkeypatch):
+    """A panel of many series gets a few hundred signs a series, not thousands."""
+    asked = []
+    monkeypatch.setattr(distribution, "return_sketches", lambda r, bands, bits, *rest: asked.append((bands, bits)) or r.limit(0))
+    monkeypatch.setattr(distribution, "candidate_pairs", lambda *_: (_ for _ in ()).throw(StopIteration))
+    many = spark.range(180_000).selectExpr("cast(id as string) ticker", "date'2020-01-01' date", "0.1D daily_return")
+    with pytest.raises(StopIteration):
+        distribution.correlated_pairs(many, 0.8, SPEC)
+    bands, bits = asked[0]
+    assert bands * bits <= 1000 and 180_000 >> bits <= 2048
