@@ -4,9 +4,8 @@ Words and an end token are counted over all training documents; the counts give
 frequencies that a gated recurrent model (``gru``) starts from.  Copies of the model are trained by truncated
 backpropagation, each on documents that a hash of their id and text deals to it, in an order that hash gives, and
 averaged row by row, by how often each row was used: how the table is cut into files or tasks doesn't matter.
-Every training document takes part with every ``share``-th of its windows of ``window`` tokens (one at least), from
-a window on that the hash chooses: a fixed part of the corpus at every size.  Copies are as many as these tokens
-ask for.  Scores are over all tokens of every document, with the state carried from window to window.
+Every training document takes part with all its tokens, in windows of ``window``; a ``share`` above 1 takes every
+``share``-th window (one at least), from one on that the hash chooses.  Copies are as many as these tokens ask for.  Scores are over all tokens of every document, with the state carried from window to window.
 
 The probability of a word without weights of its own is that of its shape (how it ends, and whether it is
 ASCII) times its share of the counts of such words.  Words not met in training are one outcome of their
@@ -38,7 +37,7 @@ from . import gru
 from .text import batch, lower_words
 
 WORDS, CLASSES, HEAD = 8000, 60, 1 << 18
-SHARE, WINDOW = 5, 48
+SHARE, WINDOW = 1, 48
 #: Tokens that a copy is trained on about, and at a time; copies added up at a time.
 COPY, LOT, ADDED = 1_000_000, 100_000, 64
 RATE = 0.1

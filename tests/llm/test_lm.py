@@ -176,3 +176,13 @@ def test_gain_over_the_base(spark):
     held = [r for r in lm.score_documents(docs, lm.training_rows(docs["doc_id"])).collect() if held_out(r.doc_id)]
     tokens = sum(r.n_tokens for r in held)
     assert (sum(r.score for r in held) - sum(r.base_score for r in held)) / tokens > 0.2
+
+
+def test_all_training_tokens_are_looked_at(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(i * 40 % 700))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = lm.vocabulary(lm.count_words(docs))
+    found = lm.training_windows(docs, known, 3).collect()
+    tokens = Counter(t for r in found for t in np.frombuffer(r.tokens, "<i4").tolist())
+    assert sum(tokens.values()) == known.total
+    assert [tokens[i] for i in range(known.words)] == known.counts[: known.words].tolist()
