@@ -63,7 +63,10 @@ _SPLIT = {
     "behavior": "Removed",
     "invert": True,
 }
-#: A place where such a tokenizer parts words from marks anyway.
+#: Texts of ASCII and Latin-1 letters, what such a tokenizer makes of them, and a place where it parts other words from
+#: marks anyway.
+_PLAIN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
 _MARKS = re.compile(rb"(?<=[a-z])(?=[.,!%#&$*])")
 _encoders: dict[str, WordIds] = {}
 
@@ -76,12 +79,26 @@ def words_apart(settings: dict) -> bool:
     return level and not settings.get("truncation") and not settings.get("padding") and not (settings.get("model") or {}).get("dropout")
 
 
+def word_parts(text: str) -> list[str]:
+    """Lower-cased parts of a text that such a tokenizer encodes apart; words beyond Latin-1 stay whole but for marks."""
+    if _PLAIN.fullmatch(text):
+        return _PARTS.findall(text.lower())
+    parts: list[str] = []
+    for word in raw(text).lower().split():
+        shown = word.decode("utf-8", "surrogatepass")
+        if _PLAIN.fullmatch(shown):
+            parts += _PARTS.findall(shown.lower())
+        else:
+            parts += (w.decode("utf-8", "surrogatepass") for w in _MARKS.sub(b" ", word).split())
+    return parts
+
+
 class WordIds:
     """Token ids of texts as little-endian bytes.
 
     Where the tokenizer ignores the case of A-Z, drops white space and joins no token across it, nor across the end
-    of a run of letters (``words_apart``), they are put together from those of words, and words not met lately are
-    encoded many at a time.  Other tokenizers get whole texts, as do texts that hold an added token's content.
+    of a run of letters (``words_apart``), they are put together from those of the parts of words (runs of letters, digits,
+    runs of marks), which are far fewer than words, and parts not met lately are encoded many at a time.  Other tokenizers get whole texts, as do texts that hold an added token's content.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
@@ -91,9 +108,13 @@ class WordIds:
         with open(tokenizer_path, encoding="utf-8") as file:
             settings = json.load(file)
         self.apart = words_apart(settings)
-        self.added = [t["content"].lower().encode() for t in settings.get("added_tokens") or []]
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.added = [t["content"].lower() for t in settings.get("added_tokens") or []]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        suffix = (settings.get("model") or {}).get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self.last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)  # ids that end a part
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     @classmethod
     def shared(cls, tokenizer_path: str) -> WordIds:
@@ -105,31 +126,36 @@ class WordIds:
     def _whole(self, text: str | None) -> bytes:
         return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, some: list[bytes]) -> None:
-        shown = [w.decode("utf-8", "surrogatepass") for w in some]
-        begins = np.cumsum([0, *(len(w) + 1 for w in shown)])
-        found = self.tokenizer.encode(" ".join(shown), add_special_tokens=False)
+    def _learn(self, some: list[str], plain: bool) -> None:
+        """Remember some parts; of ``plain`` ones each ends with an id that ends a part."""
+        found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-        cuts = (4 * np.searchsorted(at, begins)).tolist()
-        flat = ids.tobytes()
+        cuts = None
+        if plain and len(self.last):
+            cuts = np.r_[0, np.flatnonzero(self.last[ids]) + 1]
+        if cuts is None or len(cuts) != len(some) + 1 or cuts[-1] != len(ids):
+            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+            cuts = np.searchsorted(at, np.cumsum([0, *(len(w) + 1 for w in some)]))
+        cuts, flat = (4 * cuts).tolist(), ids.tobytes()
         self.known.update(zip(some, (flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Ids of some texts; the caller bounds how many it hands over."""
         if not self.apart:
             return [self._whole(t) for t in texts]
-        lower = [raw(t).lower() for t in texts]
+        lower = (t.lower() if t else "" for t in texts)
         whole = {i for i, t in enumerate(lower) if any(a in t for a in self.added)}
-        split = [[] if i in whole else _MARKS.sub(b" ", t).split() for i, t in enumerate(lower)]
+        split = [[] if i in whole else word_parts(t or "") for i, t in enumerate(texts)]
         if len(self.known) > KEPT_WORDS:
             self.older, self.known = self.known, {}
         fresh = set().union(*split).difference(self.known)
         again = [w for w in fresh if w in self.older]
         self.known.update((w, self.older[w]) for w in again)
-        fresh = list(fresh.difference(again))
-        for i in range(0, len(fresh), 512):
-            self._learn(fresh[i : i + 512])
+        fresh = fresh.difference(again)
+        single = {w for w in fresh if _PARTS.fullmatch(w)}
+        for plain, words in ((True, list(single)), (False, list(fresh - single))):
+            for i in range(0, len(words), 512):
+                self._learn(words[i : i + 512], plain)
         return [self._whole(texts[i]) if i in whole else b"".join(map(self.known.__getitem__, w)) for i, w in enumerate(split)]
 
 

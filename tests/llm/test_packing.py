@@ -139,3 +139,13 @@ def test_contents_of_added_tokens(tokenizer):
     texts = ["a<|endoftext|>b", "A <|ENDOFTEXT|> b", "x <|startoftext|><|endoftext|>", "< | endoftext"]
     for text, ids in zip(texts, packing.WordIds(tokenizer_path()).of(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_parts_of_words_are_learnt_without_offsets(tokenizer):
+    """Runs of letters, digits and marks are learnt apart, so words with other marks or digits aren't encoded again."""
+    cache = packing.WordIds(tokenizer_path())
+    texts = ["Élan-vital (x1) x2, don't élan!", "vital élan 2x 12 ''s a\x1cb µm ²x don'tx"]
+    for text, ids in zip(texts, cache.of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"élan", "-", "vital", "(", "x", "1", ")", "2", "don", "'t"} <= set(cache.known)
+    assert not {"élan-vital", "x1", "(x1)", "don't"} & set(cache.known)
