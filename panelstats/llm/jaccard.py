@@ -2,16 +2,16 @@
 
 Texts link if their sets of ``SHINGLE``-word shingles have a similarity of ``SIMILAR`` at least; linked texts form
 classes.  A text's fingerprint has a bit where over half of its shingles' hashes have it.  Candidates are texts that
-meet in an upper node of the Gray-order index (``simhash``) and differ in at most ``DISTANCE`` bits.  Unlike there,
-a wide distance can't be covered by masks that miss nothing, so random masks of a few bits are used, as many as a
+meet in an upper node of the Gray-order index (``simhash``), differ in at most ``DISTANCE`` bits, and whose sketches
+of 64 bits (one bit of each min-hash) don't show them to be less similar: fingerprints of unlike texts are that near now and
+then, which would make candidates that grow with the square of the texts.  Unlike there, a wide distance can't be covered by masks that miss nothing, so random masks of a few bits are used, as many as a
 pair at ``SIMILAR`` asks for to meet with a probability of ``RECALL``; they have more bits for more texts, which
 keeps upper nodes small.  Every link is checked on the sets themselves.
 
 Equal sets are one row of all that follows.  First every text is checked against three of its candidates: the nearest
 one, the one whose key is the least, and the one that has most candidates itself; the last two are the same ones for
 most of a large group of copies, and the last is what its copies were made of rather than one of them.  Then texts that have candidates are indexed again, and each is checked against the next
-``PARTNERS`` of them that it isn't linked with yet, the nearest first, until there are none.  Sketches of 64 bytes
-(min-hashes) sort out pairs far under the threshold before any text travels.
+``PARTNERS`` of them that it isn't linked with yet, the nearest first, until there are none.  Min-hashes of a byte sort out pairs far under the threshold before any text travels.
 
 Defined results: null, empty and blank texts have the empty set, and are one class; fewer words than a shingle
 make one shingle; an empty table gives an empty result.  Only the named columns are read; names that begin with
@@ -44,6 +44,8 @@ DISTANCE, RECALL = 18, 0.95
 BITS, MOST_BITS, CROWD = 12, 16, 6
 #: Bytes of a sketch, and the share of them that a pair worth checking has in common.
 MINS, LIKELY = 64, 0.6
+#: The probability that the sketch of a pair at the threshold keeps it from being a candidate.
+LOST = 5e-5
 #: Candidates that a text is checked against in a round; shingles hashed at a time.
 PARTNERS, PART = 1024, 200_000
 _ROW = "_llm_row"
@@ -93,18 +95,32 @@ def fingerprints_and_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return prints, mins
 
 
+def sketches(mins: np.ndarray) -> np.ndarray:
+    """One bit of each min-hash, 64 in a number."""
+    return np.packbits(mins & 1, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def bits_apart(least: Fraction = SIMILAR, lost: float = LOST) -> int:
+    """Bits in which sketches of a pair at the threshold differ at most, but for a share ``lost`` of such pairs."""
+    differ = (1 - float(least)) / 2
+    most, rest = MINS, 0.0
+    while most and rest + (chance := math.comb(MINS, most) * differ**most * (1 - differ) ** (MINS - most)) <= lost:
+        most, rest = most - 1, rest + chance
+    return most
+
+
 def prints(ranked: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row (rank, text): rank, key (equal for equal sets), fp and mins."""
+    """Per row (rank, text): rank, key (equal for equal sets), fp, sketch and mins."""
 
-    def lot(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
-        fp, mins = np.zeros(len(sets), np.uint64), [b""] * len(sets)
+    def lot(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        fp, sketch, mins = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), [b""] * len(sets)
         full = [i for i, s in enumerate(sets) if len(s)]
         if full:
             found, rows = fingerprints_and_sketches([sets[i] for i in full])
-            fp[full] = found
+            fp[full], sketch[full] = found, sketches(rows)
             for i, row in zip(full, rows, strict=True):
                 mins[i] = row.tobytes()
-        return fp, mins
+        return fp, sketch, mins
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -114,13 +130,14 @@ def prints(ranked: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sets.append(shingles(text, hashes, shingle))
                 held += len(sets[-1])
                 if held >= PART or i == given.num_rows - 1:
-                    fp, mins = lot(sets)
+                    fp, sketch, mins = lot(sets)
                     keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                    columns = [given.column(0).slice(begin, len(sets)), pa.array(keys), pa.array(fp.view(np.int64)), pa.array(mins, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["rank", "key", "fp", "mins"])
+                    longs = (pa.array(x.view(np.int64)) for x in (keys, fp, sketch))
+                    columns = [given.column(0).slice(begin, len(sets)), *longs, pa.array(mins, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["rank", "key", "fp", "sketch", "mins"])
                     begin, sets, held = i + 1, [], 0
 
-    return ranked.select("rank", "text").mapInArrow(read, f"rank {ranked.schema['rank'].dataType.simpleString()}, key long, fp long, mins binary")
+    return ranked.select("rank", "text").mapInArrow(read, f"rank {ranked.schema['rank'].dataType.simpleString()}, key long, fp long, sketch long, mins binary")
 
 
 # -- candidates ----------------------------------------------------------------------------------
@@ -150,9 +167,16 @@ def _longs(column: pa.Array, kind: type = np.int64) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE) -> DataFrame:
-    """Each key that has candidates: the nearest one, the least one, and how often candidates were met; keys are (key, fp)."""
-    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key",)), "jaccard-nodes")
+def _apart(x: np.ndarray, y: np.ndarray, sketch: np.ndarray, sketch_2: np.ndarray, most: int) -> np.ndarray:
+    """Bits in which fingerprints differ, and ``_FAR`` where sketches differ in more than ``most``."""
+    apart = np.bitwise_count(x[:, None] ^ y[None, :])
+    apart[np.bitwise_count(sketch[:, None] ^ sketch_2[None, :]) > most] = _FAR
+    return apart
+
+
+def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE, most: int = bits_apart()) -> DataFrame:
+    """Each key that has candidates: the nearest one, the least one, and how often candidates were met; keys are (key, fp, sketch)."""
+    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key", "sketch")), "jaccard-nodes")
     schema = pa.schema([("key", pa.int64()), ("d", pa.int32()), ("partner", pa.int64()), ("least", pa.int64()), ("degree", pa.int64())])
     last = np.iinfo(np.int64).max
 
@@ -160,10 +184,11 @@ def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE)
         for given in batches:
             found: list[tuple[np.ndarray, ...]] = []
             same = (given.column(0).to_numpy() == given.column(1).to_numpy()).tolist()
-            for alike, x, y, kx, ky in zip(same, *(_longs(given.column(i), t) for i, t in ((2, np.uint64), (3, np.uint64), (4, np.int64), (5, np.int64))), strict=True):
+            packed = (_longs(given.column(i), t) for i, t in enumerate((np.uint64,) * 2 + (np.int64,) * 2 + (np.uint64,) * 2, 2))
+            for alike, x, y, kx, ky, sx, sy in zip(same, *packed, strict=True):
                 if alike and len(x) == 1:
                     continue
-                apart = np.bitwise_count(x[:, None] ^ y[None, :])
+                apart = _apart(x, y, sx, sy, most)
                 if alike:
                     np.fill_diagonal(apart, _FAR)
                 for own, other, far in ((kx, ky, apart), *(() if alike else ((ky, kx, apart.T),))):
@@ -178,54 +203,55 @@ def nearest_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE)
                 key, d, partner, least, degree = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield batch(schema, key=key, d=d.astype(np.int32), partner=partner, least=least, degree=degree)
 
-    pairs = node_pairs(nodes, distance, ["fps", "keys"]).select("node", "node_2", "fps", "fps_2", "keys", "keys_2")
+    columns = ["fps", "keys", "sketchs"]
+    pairs = node_pairs(nodes, distance, columns).select("node", "node_2", *(f"{c}{end}" for c in columns for end in ("", "_2")))
     near = pairs.mapInArrow(compare, "key long, d int, partner long, least long, degree long")
     best = near.groupBy("key").agg(F.min(F.struct("d", "partner")).alias("best"), F.min("least").alias("least"), F.sum("degree").alias("degree"))
     return best.select("key", F.col("best.partner").alias("nearest"), "least", "degree")
 
 
-def hub_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE) -> DataFrame:
-    """Each key's candidate of the greatest degree: key, hub; keys are (key, fp, degree)."""
-    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key", "degree")), "jaccard-nodes")
+def hub_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE, most: int = bits_apart()) -> DataFrame:
+    """Each key's candidate of the greatest degree: key, hub; keys are (key, fp, sketch, degree)."""
+    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key", "degree", "sketch")), "jaccard-nodes")
     schema = pa.schema([("key", pa.int64()), ("degree", pa.int64()), ("hub", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
             found: list[tuple[np.ndarray, ...]] = []
             same = (given.column(0).to_numpy() == given.column(1).to_numpy()).tolist()
-            packed = (_longs(given.column(i), t) for i, t in enumerate((np.uint64,) * 2 + (np.int64,) * 4, 2))
-            for alike, x, y, kx, ky, gx, gy in zip(same, *packed, strict=True):
-                near = np.bitwise_count(x[:, None] ^ y[None, :]) <= distance
+            packed = (_longs(given.column(i), t) for i, t in enumerate((np.uint64,) * 2 + (np.int64,) * 4 + (np.uint64,) * 2, 2))
+            for alike, x, y, kx, ky, gx, gy, sx, sy in zip(same, *packed, strict=True):
+                near = _apart(x, y, sx, sy, most) <= distance
                 if alike:
                     np.fill_diagonal(near, False)
                 for own, other, degree, met in ((kx, ky, gy, near), *(() if alike else ((ky, kx, gx, near.T),))):
                     some = np.where(met, degree[None, :], -1)
                     at = some.argmax(axis=1)
-                    most = some[np.arange(len(own)), at]
-                    use = most >= 0
+                    greatest = some[np.arange(len(own)), at]
+                    use = greatest >= 0
                     if use.any():
-                        found.append((own[use], most[use], other[at[use]]))
+                        found.append((own[use], greatest[use], other[at[use]]))
             if found:
                 key, degree, hub = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield batch(schema, key=key, degree=degree, hub=hub)
 
-    columns = ["fps", "keys", "degrees"]
+    columns = ["fps", "keys", "degrees", "sketchs"]
     pairs = node_pairs(nodes, distance, columns).select("node", "node_2", *(f"{c}{end}" for c in columns for end in ("", "_2")))
     met = pairs.mapInArrow(compare, "key long, degree long, hub long")
     return met.groupBy("key").agg(F.max(F.struct("degree", "hub")).alias("best")).select("key", "best.hub")
 
 
-def next_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE, partners: int = PARTNERS) -> DataFrame:
+def next_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE, partners: int = PARTNERS, most: int = bits_apart()) -> DataFrame:
     """Pairs (a, b), a > b, that aren't linked: for each a the next ``partners`` after its cursor, the nearest first.
 
-    Keys are (key, fp, root, d, last): a key's cursor is the distance and key of the candidate checked last.
+    Keys are (key, fp, sketch, root, d, last): a key's cursor is the distance and key of the candidate checked last.
     """
-    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key", "root", "d", "last")), "jaccard-nodes")
-    columns = ["fps", "keys", "roots", "ds", "lasts"]
+    nodes = stored(lower_nodes(keys, distance, on=on, extra=("key", "root", "d", "last", "sketch")), "jaccard-nodes")
+    columns = ["fps", "keys", "roots", "ds", "lasts", "sketchs"]
     schema = pa.schema([("a", pa.int64()), ("d", pa.int64()), ("b", pa.int64())])
 
     def open_pairs(alike: bool, one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        apart = np.bitwise_count(one[0].view(np.uint64)[:, None] ^ two[0].view(np.uint64)[None, :])
+        apart = _apart(*(x[k].view(np.uint64) for k in (0, 5) for x in (one, two)), most)
         i, j = np.nonzero((apart <= distance) & (one[2][:, None] != two[2][None, :]))
         if alike:
             i, j = i[i < j], j[i < j]
@@ -245,7 +271,7 @@ def next_candidates(keys: DataFrame, on: list[int], distance: int = DISTANCE, pa
         for given in batches:
             same = (given.column(0).to_numpy() == given.column(1).to_numpy()).tolist()
             packed = [_longs(c) for c in given.columns[2:]]
-            found = [open_pairs(same[i], [p[i] for p in packed[:5]], [p[i] for p in packed[5:]]) for i in range(given.num_rows)]
+            found = [open_pairs(same[i], [p[i] for p in packed[:6]], [p[i] for p in packed[6:]]) for i in range(given.num_rows)]
             if found:
                 a, d, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield batch(schema, a=a, d=d, b=b)
@@ -272,8 +298,8 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(pack, f"`{texts.columns[0]}` long, data binary, n long")
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar; sketches are (key, mins), texts (key, data, n)."""
+def verified(pairs: DataFrame, hashed: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar; ``hashed`` is (key, mins), texts (key, data, n)."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
@@ -292,7 +318,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: i
             use = [similar(shingled(*x), shingled(*y), least) for x, y in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([given.column(0), given.column(1)], names=["a", "b"]).filter(pa.array(use, pa.bool_()))
 
-    full = sketches.filter(F.length("mins") > 0)
+    full = hashed.filter(F.length("mins") > 0)
     left, right = (full.select(F.col("key").alias(k), F.col("mins").alias(f"mins_{k}")) for k in "ab")
     close = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "mins_a", "mins_b").mapInArrow(likely, "a long, b long"), "jaccard-likely")
     left, right = (texts.select(F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("data", "n"))) for k in "ab")
@@ -301,28 +327,29 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: i
 
 
 def linked(distinct: DataFrame, texts_of, shingle: int = SHINGLE, least: Fraction = SIMILAR, partners: int = PARTNERS, recall: float = RECALL) -> DataFrame:
-    """Edges (a, b) with the components of all similar candidates among distinct keys (columns key, fp, mins).
+    """Edges (a, b) with the components of all similar candidates among distinct keys (columns key, fp, sketch, mins).
 
     ``texts_of`` gives (key, data, n) for a table of keys.
     """
     on = candidate_masks(distinct.count(), recall, DISTANCE, least)
-    nearest = stored(nearest_candidates(distinct.select("key", "fp"), on), "jaccard-nearest")
+    most = bits_apart(least)
+    nearest = stored(nearest_candidates(distinct.select("key", "fp", "sketch"), on, DISTANCE, most), "jaccard-nearest")
     texts = stored(texts_of(nearest.select("key")), "jaccard-texts")
-    open_keys = stored(nearest.select("key", "degree").join(distinct.select("key", "fp"), "key"), "jaccard-open")
-    first = nearest.join(hub_candidates(open_keys.select("key", "fp", "degree"), on), "key", "left")
+    open_keys = stored(nearest.select("key", "degree").join(distinct.select("key", "fp", "sketch"), "key"), "jaccard-open")
+    first = nearest.join(hub_candidates(open_keys, on, DISTANCE, most), "key", "left")
     both = first.select("key", F.explode(F.array("nearest", "least", F.coalesce("hub", "nearest"))).alias("partner"))
     pairs = both.select(F.greatest("key", "partner").alias("a"), F.least("key", "partner").alias("b")).distinct()
     edges = stored(verified(pairs, distinct, texts, shingle, least), "jaccard-links")
     cursors = None
     while True:
         roots = components(edges)
-        keys = open_keys.join(roots, F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "key").alias("root"))
+        keys = open_keys.join(roots, F.col("key") == F.col("node"), "left").select("key", "fp", "sketch", F.coalesce("root", "key").alias("root"))
         if cursors is None:
             keys = keys.withColumns({"d": F.lit(-1).cast("long"), "last": F.lit(0).cast("long")})
         else:
             moved = cursors.select(F.col("a").alias("key"), F.col("at.d").alias("d"), F.col("at.b").alias("last"))
             keys = keys.join(moved, "key", "left").withColumns({"d": F.coalesce("d", F.lit(-1)), "last": F.coalesce("last", F.lit(0))})
-        pairs = stored(next_candidates(stored(keys, "jaccard-open"), on, DISTANCE, partners), "jaccard-pairs")
+        pairs = stored(next_candidates(stored(keys, "jaccard-open"), on, DISTANCE, partners, most), "jaccard-pairs")
         per_key = pairs.groupBy("a").agg(F.max(F.struct("d", "b")).alias("at"), F.count("*").alias("n"))
         state = per_key.agg(F.count("*").alias("keys"), F.max("n").alias("most")).first()
         if not state["keys"]:
@@ -342,7 +369,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = numbered(docs, _ROW)
     rank = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), F.col(_ROW).alias("row"))
     all_prints = stored(prints(placed.select(rank.alias("rank"), F.col(text_col).alias("text")), shingle), "jaccard-prints")
-    distinct = stored(all_prints.groupBy("key").agg(F.min(F.struct("rank", "fp", "mins")).alias("first")).select("key", "first.*"), "jaccard-distinct")
+    distinct = stored(all_prints.groupBy("key").agg(F.min(F.struct("rank", "fp", "sketch", "mins")).alias("first")).select("key", "first.*"), "jaccard-distinct")
 
     def texts_of(keys: DataFrame) -> DataFrame:
         rows = distinct.join(keys, "key", "left_semi").select("key", F.col("rank.row").alias(_ROW))

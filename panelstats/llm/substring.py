@@ -35,8 +35,8 @@ from .text import WordHashes, batch, lower_words, raw
 MIN_WORDS = 30
 #: A unit ends where a word's hash is the least of so many words on either side; longer units are cut.
 REACH, MOST_WORDS = 2, 16
-#: Units of a lot, within which repeats are found early.
-LOT = 1_000_000
+#: Units of a lot, within which repeats are found early, and units of a lot handed on at a time.
+LOT, PART = 1_000_000, 1 << 17
 ROW = "_llm_row"
 _WORD, _SPACE = re.compile(r"[^\x20\x09-\x0D]+"), " \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15
@@ -118,36 +118,46 @@ def find_units(placed: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         [("row", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("digest", pa.int64()), ("known", pa.bool_())]
     )
 
-    def lot(parts: list[tuple]) -> pa.RecordBatch:
-        row, doc_id, first, n, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((first, row, doc_id, digest))
-        row, doc_id, first, n, digest = (x[order] for x in (row, doc_id, first, n, digest))
-        known = np.r_[False, digest[1:] == digest[:-1]]
-        lost = doc_id == _LAST
-        return batch(
-            schema,
-            row=pa.array(row),
-            doc_id=pa.array(doc_id, mask=lost),
-            first=pa.array(first.astype(np.int32)),
-            n=pa.array(n.astype(np.int32)),
-            digest=pa.array(digest.view(np.int64)),
-            known=pa.array(known),
-        )
+    def lot(rows: list[tuple[int, int]], parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """Units in the order of their digests, then of documents; ``parts`` is emptied, so that nothing is held twice."""
+        row, doc_id = np.array(rows, np.int64).T
+        by_rank = np.lexsort((row, doc_id))
+        rank = np.empty(len(rows), np.int32)
+        rank[by_rank] = np.arange(len(rows), dtype=np.int32)
+        rank = np.repeat(rank, [len(first) for first, _, _ in parts])
+        first, n, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.lexsort((first, rank, digest))
+        row, doc_id, last = row[by_rank], doc_id[by_rank], None
+        for i in range(0, len(order), PART):
+            at = order[i : i + PART]
+            of, some = rank[at], digest[at]
+            known = np.r_[some[0] == last, some[1:] == some[:-1]]
+            last = some[-1]
+            yield batch(
+                schema,
+                row=pa.array(row[of]),
+                doc_id=pa.array(doc_id[of], mask=doc_id[of] == _LAST),
+                first=pa.array(first[at]),
+                n=pa.array(n[at]),
+                digest=pa.array(some.view(np.int64)),
+                known=pa.array(known, pa.bool_()),
+            )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held = WordHashes(), [], 0
+        hashes, rows, parts, held = WordHashes(), [], [], 0
         for given in batches:
             for row, doc_id, text in zip(*(c.to_pylist() for c in given.columns), strict=True):
                 first, n, digest = units_of(text, hashes)
                 if len(first):
-                    same = np.full(len(first), row), np.full(len(first), _LAST if doc_id is None else doc_id)
-                    parts.append((*same, first, n, digest))
+                    rows.append((row, _LAST if doc_id is None else doc_id))
+                    parts.append((first.astype(np.int32), n.astype(np.int32), digest))
                     held += len(first)
                 if held >= LOT:
-                    yield lot(parts)
-                    parts, held = [], 0
+                    yield from lot(rows, parts)
+                    rows, held = [], 0
         if parts:
-            yield lot(parts)
+            yield from lot(rows, parts)
 
     rows = placed.select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, "row long, doc_id long, first int, n int, digest long, known boolean")

@@ -138,18 +138,19 @@ def fit_toxicity(
     def train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         for given in batches:
+            if not given.num_rows:
+                continue
             data = given.column(1)
             ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
             flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].copy().view("<i4")
             parts.append((given.column(0).to_numpy(), given.column(2).to_numpy(), np.diff(ends) // 4, flat))
         if not parts:
             return
-        place, toxic, n, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        begin = np.cumsum(n) - n
+        place, toxic, n = (np.concatenate([part[i] for part in parts]) for i in range(3))
+        buckets = [some for _, _, n, flat in parts for some in np.split(flat, np.cumsum(n)[:-1])]  # views
         order = np.lexsort((n, toxic, place)).tolist()
         if toxic.min() < toxic.max():
-            w, intercept = learn([(flat[begin[i] : begin[i] + n[i]], int(toxic[i])) for i in order], bits, how)
+            w, intercept = learn([(buckets[i], int(toxic[i])) for i in order], bits, how)
         else:
             w, intercept = np.zeros(1), 35.0 if toxic[0] else -35.0
         at = np.flatnonzero(w)

@@ -118,3 +118,18 @@ def test_copies_unlike_each_other_meet_at_their_original(spark, written):
         rows.append((i, " ".join(copy)))
     kept = {r.doc_id for r in jaccard.first_of_each(written(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert 0 in kept and len(kept) <= 0.1 * len(rows)
+
+
+def test_unlike_texts_with_near_fingerprints_are_no_candidates(spark, written):
+    """Sketches of unlike texts differ in about half of their bits: only the pair with near sketches is left."""
+    sketch = [sum(((i & j).bit_count() & 1) << j for j in range(63)) for i in range(60)]
+    rows = [(i, 7, sketch[i], i, -1, 0) for i in range(60)]
+    rows.append((60, 7, sketch[0] ^ 0b1011, 60, -1, 0))
+    keys = written(spark.createDataFrame(rows, "key long, fp long, sketch long, root long, d long, last long"))
+    on = jaccard.candidate_masks(len(rows))
+    assert [(r.a, r.b) for r in jaccard.next_candidates(keys, on).collect()] == [(60, 0)]
+    assert {r.key for r in jaccard.nearest_candidates(keys, on).collect()} == {0, 60}
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    assert jaccard.bits_apart() == 17 and jaccard.bits_apart(Fraction(1, 2)) > 24 and jaccard.bits_apart(Fraction(1)) == 0

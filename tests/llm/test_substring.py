@@ -153,3 +153,14 @@ def test_only_separators_go_with_a_run():
     assert substring.without(f"{head} {tail}  \n", [span], 30)[0] == f"{tail}  \n"
     kept, offsets, gone = substring.without(f"x  \n {head}\n", [{"first": 1, "n": 30}], 30)
     assert kept == "x " and gone == 30 and offsets == [(5, 5 + len(head))]
+
+
+def test_a_lot_is_handed_on_in_parts(spark, written, monkeypatch):
+    """Units of a lot come in small batches, and repeats that meet at the end of one are known all the same."""
+    rows = [(i % 5, f"same line of text\nline {i % 7} is here") for i in range(40)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), 1)
+    columns = ["doc_id", "first", "n", "digest", "known"]
+    want = sorted(substring.find_units(substring.numbered(docs, substring.ROW)).select(*columns).collect())
+    monkeypatch.setattr(substring, "PART", 3)
+    assert sorted(substring.find_units(substring.numbered(docs, substring.ROW)).select(*columns).collect()) == want
+    assert sum(not r.known for r in want) == len({r.digest for r in want})
