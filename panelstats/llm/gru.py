@@ -127,24 +127,33 @@ def log_probs(
             grads["class_b"] += both[:, h:]
             back[i : i + BLOCK] = e @ p["class_w"]
     order = np.argsort(kinds, kind="stable")
-    cuts = np.searchsorted(kinds[order], np.arange(shape.classes + 1))
+    cuts = np.searchsorted(kinds[order], np.arange(shape.classes + 1)).tolist()
+    begins = shape.begins.tolist()
     weights = np.concatenate([p["word_w"], p["word_b"]], axis=1)
+    order = order[: cuts[-1]]
+    full, inside = full[order], targets[order] - shape.begins[kinds[order]]
+    logs = np.zeros(len(order), np.float32)
+    outer = None if grads is None else np.zeros((len(order), h), np.float32)
+    rows = np.arange(min(BLOCK, len(order)))
     for k in range(shape.classes):
-        a, b = shape.begins[k], shape.begins[k + 1]
+        a, b = begins[k], begins[k + 1]
         if b - a < 2:
             continue
         for i in range(cuts[k], cuts[k + 1], BLOCK):
-            at = order[i : min(i + BLOCK, cuts[k + 1])]
-            some, own, rows = full[at], targets[at] - a, np.arange(len(at))
+            j = min(i + BLOCK, cuts[k + 1])
+            some, own, at = full[i:j], inside[i:j], rows[: j - i]
             logits, e, total = _softmax(some, weights[a:b])
-            found[at] += logits[rows, own] - np.log(total)
+            logs[i:j] = logits[at, own] - np.log(total)
             if grads is not None:
                 e /= total[:, None]
-                e[rows, own] -= 1
+                e[at, own] -= 1
                 both = e.T @ some
                 grads["word_w"][a:b] += both[:, :h]
                 grads["word_b"][a:b] += both[:, h:]
-                back[at] += e @ p["word_w"][a:b]
+                outer[i:j] = e @ weights[a:b, :h]
+    found[order] += logs
+    if grads is not None:
+        back[order] += outer
     return found, back
 
 
@@ -234,9 +243,13 @@ def train(
     lanes, class_of, h = Lanes.of(documents, end, width), shape.class_of(), shape.hidden
     state = np.zeros((len(lanes.given), h), np.float32)
 
-    def step(name: str, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
-        squares[name][rows] += gradient * gradient
-        p[name][rows] -= rate * gradient / np.sqrt(squares[name][rows])
+    def step(name: str, gradient: np.ndarray) -> None:
+        """Rows without a gradient stay as they are."""
+        held = squares[name]
+        held += gradient * gradient
+        gradient *= rate
+        gradient /= np.sqrt(held)
+        p[name] -= gradient
 
     for active, given, targets, keep, used in lanes.windows(steps):
         tape: list = []
@@ -264,14 +277,17 @@ def train(
         ids = given.ravel()
         order = np.argsort(ids, kind="stable")
         rows, first = np.unique(ids[order], return_index=True)
-        step("in", rows, np.add.reduceat(d_in.reshape(-1, 3 * h)[order], first, axis=0))
-        step("rec", slice(None), d_rec)
+        gradient = np.add.reduceat(d_in.reshape(-1, 3 * h)[order], first, axis=0)
+        held = squares["in"][rows] + gradient * gradient
+        squares["in"][rows] = held
+        p["in"][rows] -= rate * gradient / np.sqrt(held)
+        step("rec", d_rec)
         touched = np.unique(class_of[some[some < shape.words]])
         words = np.concatenate([np.arange(shape.begins[k], shape.begins[k + 1]) for k in touched] or [np.empty(0, np.int64)])
-        for name in ("class_w", "class_b"):
-            step(name, slice(None), grads[name] / n)
+        for name, gradient in grads.items():
+            gradient /= n
+            step(name, gradient)
         for name in ("word_w", "word_b"):
-            step(name, words, grads[name][words] / n)
             uses[name][words] += n
         uses["in"][rows] += np.diff(np.r_[first, len(ids)])
         for name in ("rec", "class_w", "class_b"):
